@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op3_secret_novelty": secrets.op3_secret_novelty,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     }
