@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, secrets, sharding
+from . import bpe, mixing, rules, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,12 @@ def queries() -> dict[str, Query]:
     return {
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op3_secret_novelty": secrets.op3_secret_novelty,
+        "op4_exact_topk": topk.op4_exact_topk,
+        "op5_decision_list": rules.op5_decision_list,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.OP6_SQL, "op9_rendezvous_sharding": sharding.OP9_SQL}
+    return {"op4_exact_topk": topk.OP4_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_rendezvous_sharding": sharding.OP9_SQL}
