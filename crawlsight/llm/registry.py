@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rules, secrets, sharding, topk
+from . import bpe, langid, mixing, quality, rules, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_codes": langid.op1_language_codes,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op3_secret_novelty": secrets.op3_secret_novelty,
         "op4_exact_topk": topk.op4_exact_topk,
         "op5_decision_list": rules.op5_decision_list,
         "op6_source_mixing": mixing.op6_source_mixing,
+        "op10_quality_network": quality.op10_quality_network,
         "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     }
 
