@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, nearjoin, quality, rules, secrets, sharding, topk
+from . import bpe, langid, licences, mixing, nearjoin, quality, rules, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_decision_list": rules.op5_decision_list,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op10_quality_network": quality.op10_quality_network,
+        "op7_licence_scan": licences.op7_licence_scan,
         "op8_ngram_jaccard": nearjoin.op8_ngram_jaccard,
         "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     }
