@@ -8,7 +8,7 @@ in order of finish time, cut into ranges, and truncated where the running total
 reaches the budget, the sum of all targets.
 
 Defined cases: a null text has no words and takes nothing; a null source is a
-source of its own, last in order; documents equal in id, source and size are
+source of its own, last in order; documents equal in id, source, size and checksum are
 interchangeable; an empty table gives an empty mix; other columns are ignored
 by ``plan`` and kept by ``apply``. Reruns agree, as nothing is drawn at random.
 """
@@ -59,14 +59,15 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """How often each document is taken: ``(doc_id, source, size, source_size, target, times)``, a row for each row of ``docs``."""
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    """How often each document is taken: ``(doc_id, source, size, crc, source_size, target, times)``, a row for each row of ``docs``."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+    sized = cut_lineage(sized, "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     sources = cut_lineage(sources, "mix-sources").withColumnRenamed("source", "_source")
 
-    alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    alike = sized.groupBy("doc_id", "source", "size", "crc").agg(F.count(F.lit(1)).alias("_n"))
     alike = alike.withColumn("_words", F.col("size") * F.col("_n")).withColumn("_digest", F.md5(doc_key(F.col("doc_id"))))
-    queued = running_total(alike, ["source"], "_digest", ["doc_id", "size"], "_words", "_upto")
+    queued = running_total(alike, ["source"], "_digest", ["doc_id", "size", "crc"], "_words", "_upto")
     queue = (
         queued.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
         .withColumn("_upto", F.col("_upto") - F.col("_words") + F.col("size") * F.col("_copy"))
@@ -80,7 +81,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5
 
     def place(k: int) -> Column:
         """The order of the queue: finish time, then what tells entries apart."""
-        return F.struct(finish(k).alias("finish"), F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("z"), F.lit(k).alias("pass"), "_digest", F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("_copy").alias("copy"))
+        return F.struct(finish(k).alias("finish"), F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("z"), F.lit(k).alias("pass"), "_digest", F.col("doc_id").alias("id"), F.col("size").alias("words"), "crc", F.col("_copy").alias("copy"))
 
     entries = queue.filter("size > 0 and target > 0").select(
         F.explode(F.array(*[place(k) for k in range(repeats)])).alias("at")
@@ -109,28 +110,28 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5
 
     live = (F.col("size") > 0) & (F.col("target") > 0)
     times = sum((F.when(live & taken(k), 1).otherwise(0) for k in range(repeats)), F.lit(0))
-    return queue.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"))
+    return queue.select("doc_id", "source", "size", "crc", "source_size", "target", times.cast("int").alias("times"))
 
 
 def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``plan`` takes it, with the same columns.
-
-    Rows equal in id, source and size are told apart by how many of them are taken
-    how often; which of them it is doesn't matter for the words of the mix.
-    """
+    """The mix itself: each row of ``docs`` as often as ``plan`` takes it, with the same columns."""
     chosen = plan(docs, weights, share, repeats)
-    counts = chosen.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("times"), lambda a, b: b - a).alias("_times"))
-    names = {c: f"_k{i}" for i, c in enumerate(("doc_id", "source", "size"))}
-    counts = counts.select(*[F.col(c).alias(n) for c, n in names.items()], "_times")
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2"))
-    joined = rows.join(counts, same)
-    single = F.size("_times") == 1
-    nth = Window.partitionBy("doc_id", "source", "_size").orderBy(F.crc32("text"), "text")
-    one = joined.filter(single).withColumn("_taken", F.element_at("_times", 1))
-    many = joined.filter(~single).withColumn("_nth", F.row_number().over(nth)).withColumn("_taken", F.element_at("_times", F.col("_nth"))).drop("_nth")
-    out = one.unionByName(many).filter("_taken > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    levels = [f"_t{k}" for k in range(1, repeats + 1)]  # how many of the rows of a key are taken k times or more
+    keys = ("doc_id", "source", "size", "crc")
+    counts = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("times") >= k).alias(n) for k, n in enumerate(levels, 1)])
+    counts = counts.filter("_t1 > 0").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_n", *levels)
+    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2")) & (F.col("_crc") == F.col("_k3"))
+    out = rows.join(counts, same).filter("_n = 1").withColumn("_copies", sum((F.col(n) for n in levels), F.lit(0)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = out.select(*names, "_copies")
+    if not counts.filter("_n > 1").isEmpty():
+        # Rows alike are counted before the shuffle, and each different one takes its part of the key's copies.
+        whole = rows.join(counts.filter("_n > 1"), same).groupBy(*docs.columns, *[f"_k{i}" for i in range(len(keys))], *levels).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
+        share_of = [F.greatest(F.lit(0), F.least(F.col(n), F.col("_u")) - (F.col("_u") - F.col("_c"))) for n in levels]
+        out = out.unionByName(whole.withColumn("_u", upto).withColumn("_copies", sum(share_of, F.lit(0))).select(*names, "_copies"))
+    return out.filter("_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")).drop("_i")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
