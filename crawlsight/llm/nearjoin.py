@@ -43,13 +43,13 @@ from .common import cut_lineage, mix, read_table, slices, span_hashes, utf8_view
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5
 SIMILARITY = NUMERATOR / DENOMINATOR
-TOKENS, RECALL, SMALL, DEPTH = 64, 0.9999999, 1500, 3
+TOKENS, RECALL, SMALL, DEPTH = 64, 0.9999999, 4096, 2
 #: Agreement of sketches from which a pair is a candidate: five deviations under the threshold.
 SKETCH = 0.55
-#: Sets in a block of the exact step.
-BLOCK = 2048
-#: An n-gram in more sets of a block than this is counted by bits, else by pairs.
-DENSE = 48
+#: Sets in a block of the exact step; a task holds two blocks.
+BLOCK = 8192
+#: The most frequent n-grams of a unit, those in more than ``DENSE`` sets and ``BITS`` at most, are counted by bits; the others by pairs.
+DENSE, BITS = 48, 1 << 15
 
 _STEP = [np.uint64(pow(0xBF58476D1CE4E5B9, i + 1, 1 << 64)) for i in range(WORDS)]
 _RNG = np.random.default_rng(20)
@@ -97,17 +97,22 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's set by its digest, the buckets that it falls into first, and its sketch in one byte a token."""
+    drawn = [t for run in runs_needed() for t in run]
+    salt = np.array([(t + 1) << 40 for t in drawn], np.uint64)
     for batch in slices(batches, "text", 1 << 20):
         sets = shingles(*utf8_view(batch.column("text")))
-        full = [s for s in sets if len(s)]
-        values = iter(sketch(full)) if full else iter(())
-        keys, sizes, sketches = [], [], []
-        for s in sets:
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sizes.append(len(s))
-            sketches.append(next(values).tobytes() if len(s) else None)
-        arrays = [batch.column("doc_id"), batch.column("text_md5"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_md5", "key", "n", "sketch"])
+        full = np.array([len(s) > 0 for s in sets], bool)
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        buckets, small = [None] * len(sets), [None] * len(sets)
+        if full.any():
+            values = sketch([s for s in sets if len(s)])
+            first = mix(values[:, drawn].astype(np.uint64) + salt).view(np.int64)
+            bytes_of = (values >> np.uint32(24)).astype(np.uint8)
+            for at, k in enumerate(np.flatnonzero(full).tolist()):
+                buckets[k], small[k] = first[at], bytes_of[at].tobytes()
+        arrays = [batch.column("doc_id"), batch.column("text_md5"), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(small, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_md5", "key", "buckets", "small"])
 
 
 def runs_needed(recall: float = RECALL) -> list[list[int]]:
@@ -122,50 +127,20 @@ def runs_needed(recall: float = RECALL) -> list[list[int]]:
     return runs
 
 
-def _first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each drawn token: bucket, set, and the sketch in one byte a token."""
-    drawn = [(r, t) for r, run in enumerate(runs_needed()) for t in run]
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        values = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sketch")])
-        small = pa.array([x.tobytes() for x in (values >> np.uint32(24)).astype(np.uint8)], pa.binary())
-        for _, t in drawn:
-            bucket = mix(values[:, t].astype(np.uint64) + (np.uint64(t + 1) << np.uint64(40)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("key"), small], names=["bucket", "key", "small"])
-
-
 def _next_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Split by the tokens drawn for a bucket's path: two or three, told by the bucket alone."""
+    """Split by two tokens drawn for a bucket's path; the bucket alone tells which."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         path = batch.column("bucket").to_numpy().view(np.uint64)
         values = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in batch.column("small")])
-        for j in range(2):
-            t = (mix(path + np.uint64(j * 7919 + 1)) % np.uint64(TOKENS)).astype(np.int64)
+        one = mix(path + np.uint64(1))
+        two = (one % np.uint64(TOKENS) + np.uint64(1) + mix(path + np.uint64(2)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
+        for t in ((one % np.uint64(TOKENS)).astype(np.int64), two.astype(np.int64)):
             bucket = mix(path * np.uint64(31) + (t.astype(np.uint64) << np.uint64(16)) + values[np.arange(len(t)), t] + np.uint64(1))
             yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), batch.column("key"), batch.column("small")], names=["bucket", "key", "small"])
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The runs of rows with one value of ``key`` in a sorted stream."""
     held: list[pa.RecordBatch] = []
@@ -232,22 +207,25 @@ def _units(rows: DataFrame, counts: DataFrame, group: str, size: int) -> DataFra
 
 def candidates(sets: DataFrame) -> DataFrame:
     """``(a, b)``: sets that some bucket brought together and whose sketches agree."""
-    level = sets.select("key", "sketch").mapInArrow(_first_buckets, "bucket long, key binary, small binary")
+    small = sets.select("key", "small")
+    level = sets.select(F.explode("buckets").alias("bucket"), "key")
     found = None
     for depth in range(DEPTH + 1):
-        level = cut_lineage(level, f"path-{depth}")
         counts = cut_lineage(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-counts")
-        few = level.join(counts.filter(F.col("n") <= SMALL).select("bucket"), "bucket")
+        shared = level.join(counts, "bucket")
+        if depth == 0:  # most sets are alone in their buckets; only the others take their sketches along
+            shared = shared.join(small, "key")
+        shared = cut_lineage(shared.select("bucket", "key", "small", "n"), f"path-{depth}")
+        few = shared.filter(F.col("n") <= SMALL).select("bucket", "key", "small")
         pairs = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute, "a binary, b binary")
         found = pairs if found is None else found.unionByName(pairs)
-        large = counts.filter(F.col("n") > SMALL)
+        large = shared.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        rest = level.join(large.select("bucket"), "bucket").select("bucket", "key", "small")
         if depth < DEPTH:
-            level = rest.mapInArrow(_next_buckets, "bucket long, key binary, small binary").distinct()
+            level = cut_lineage(large.select("bucket", "key", "small").mapInArrow(_next_buckets, "bucket long, key binary, small binary"), "path-split")
         else:
-            units = _units(rest, large, "bucket", SMALL).select(F.col("_unit").alias("bucket"), "key", "small")
+            units = _units(large.select("bucket", "key", "small"), counts.filter(F.col("n") > SMALL), "bucket", SMALL).select(F.col("_unit").alias("bucket"), "key", "small")
             found = found.unionByName(units.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute, "a binary, b binary"))
     return found.distinct()
 
@@ -286,69 +264,131 @@ def linked(sizes: np.ndarray, inter: np.ndarray, other: np.ndarray) -> np.ndarra
     return (NUMERATOR + DENOMINATOR) * inter >= NUMERATOR * (sizes + other)
 
 
-def intersections(sets: list[np.ndarray], rows: range, columns: range) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of ``rows``, the sizes of its intersections with the sets of ``columns``."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
-    heavy = times > DENSE
-    number = np.cumsum(heavy) - 1
-    on = heavy[ids]
-    width = -(-int(heavy.sum()) // 64)
-    bits = np.zeros((len(sets), width * 64), bool)
-    bits[owner[on], number[ids[on]]] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64) if width else np.zeros((len(sets), 0), np.uint64)
-    del bits
-    light = np.flatnonzero(~on & (times[ids] > 1))
-    light = light[np.argsort(ids[light], kind="stable")]
-    lids, lown = ids[light], owner[light]
-    first, last = np.searchsorted(lids, lids, "left"), np.searchsorted(lids, lids, "right")
-    by_owner = np.argsort(lown, kind="stable")
-    bounds = np.searchsorted(lown[by_owner], np.arange(len(sets) + 1))
-    a, b = columns.start, columns.stop
-    for i in rows:
-        inter = np.bitwise_count(packed[a:b] & packed[i]).sum(1, dtype=np.int64) if width else np.zeros(b - a, np.int64)
-        mine = by_owner[bounds[i] : bounds[i + 1]]
-        if len(mine):
-            lengths = last[mine] - first[mine]
-            at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            partners = lown[at]
-            inter = inter + np.bincount(partners[(partners >= a) & (partners < b)] - a, minlength=b - a)
-        yield i, inter
+class Block:
+    """The sets of a block by n-gram: bits for frequent n-grams, owners for the others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat)
+        flat = flat[order]
+        self.owners = owner[order]
+        del owner, order
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        self.starts = np.append(np.flatnonzero(new), len(flat)).astype(np.int32)
+        self.grams = flat[new]
+        times = np.diff(self.starts)
+        heavy = np.flatnonzero(times > DENSE)
+        heavy = heavy[np.argsort(-times[heavy], kind="stable")[:BITS]]
+        self.bit = np.full(len(times), -1, np.int32)
+        self.bit[heavy] = np.arange(len(heavy), dtype=np.int32)
+        self.packed = np.zeros((self.n, -(-len(heavy) // 64)), np.uint64)
+        for g in heavy.tolist():
+            own = self.owners[self.starts[g] : self.starts[g + 1]]
+            self.packed[own, self.bit[g] >> 6] |= np.uint64(1 << (int(self.bit[g]) & 63))
+
+    def intersections(self, s: np.ndarray) -> np.ndarray:
+        """How many n-grams of ``s`` each set of the block has."""
+        at = np.searchsorted(self.grams, s)
+        at = at[self.grams[np.minimum(at, len(self.grams) - 1)] == s] if len(at) else at
+        bits = self.bit[at]
+        out = np.zeros(self.n, np.int64)
+        on = bits[bits >= 0]
+        if len(on):
+            mask = np.zeros(self.packed.shape[1], np.uint64)
+            np.bitwise_or.at(mask, on >> 6, np.uint64(1) << (on & 63).astype(np.uint64))
+            used = np.flatnonzero(mask)
+            out += np.bitwise_count(self.packed[:, used] & mask[used]).sum(1, dtype=np.int64)
+        light = at[bits < 0]
+        if len(light):
+            n = (self.starts[light + 1] - self.starts[light]).astype(np.int64)
+            rows = np.repeat(self.starts[light] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(self.owners[rows], minlength=self.n)
+        return out
+
+
+class Unit:
+    """The links of a cluster, or between two of its blocks, found set by set."""
+
+    def __init__(self, first: list[tuple[bytes, int, np.ndarray]]):
+        self.keys = [k for k, _, _ in first]
+        self.copies = np.array([c for _, c, _ in first], np.int64)
+        self.sizes = np.array([len(s) for _, _, s in first], np.int64)
+        self.block = Block([s for _, _, s in first])
+        self.links = np.zeros(len(first), np.int64)
+        self.label = np.arange(len(first))
+        self.out: tuple[list, list, list] = ([], [], [])
+
+    def _emit(self, a: bytes, b: bytes | None, n: int) -> None:
+        for column, value in zip(self.out, (a, b, n), strict=True):
+            column.append(value)
+
+    def _join(self, key: bytes, found: np.ndarray) -> None:
+        """Emit links to one set of each tree, and make one tree of them."""
+        trees = np.unique(self.label[found])
+        for tree in trees.tolist():
+            other = self.keys[int(found[self.label[found] == tree][0])]
+            if other != key:
+                self._emit(key, other, 0)
+        self.label[np.isin(self.label, trees)] = trees[0]
+
+    def search(self, key: bytes, copies: int, s: np.ndarray, own: int = -1) -> None:
+        """``own`` is the place of a set that is one of the block."""
+        found = np.flatnonzero(linked(self.sizes, self.block.intersections(s), np.int64(len(s))))
+        if own >= 0:
+            self.links[own] += self.copies[found].sum() - self.copies[own]
+            if len(np.unique(self.label[found])) > 1:
+                self._join(key, found)
+        elif len(found):
+            self.links[found] += copies
+            self._emit(key, None, int(self.copies[found].sum()))
+            self._join(key, found)
+
+    def finish(self) -> pa.RecordBatch:
+        for i in np.flatnonzero(self.links).tolist():
+            self._emit(self.keys[i], None, int(self.links[i]))
+        a, b, n = self.out
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+
+
+def linked(sizes: np.ndarray, inter: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Jaccard of 4/5 or more, in integers: 5 i >= 4 (a + b - i)."""
+    return (NUMERATOR + DENOMINATOR) * inter >= NUMERATOR * (sizes + other)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A unit is a cluster, or two blocks of one: link counts and a spanning forest of the links.
+    """Rows come by unit and block. A unit is a cluster, searched by its own sets, or two blocks of one, of which the first is held and the second streams by.
 
-    In units of two blocks only pairs across them count; a block's own pairs count in its own unit.
+    Out come link counts (``b`` null) and a spanning forest of the links.
     """
-    for table in _groups(batches, "unit"):
-        keys, blocks, copies = (table.column(c).to_pylist() for c in ("key", "block", "copies"))
-        order = sorted({k: i for i, k in enumerate(keys)}.values(), key=lambda i: (blocks[i], keys[i]))
-        raw = table.column("shingles")
-        sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in order]
-        keys, blocks, copies = [keys[i] for i in order], [blocks[i] for i in order], np.array([copies[i] for i in order], np.int64)
-        n, split = len(keys), sum(b == blocks[0] for b in blocks)
-        if bool(table.column("pair")[0].as_py()) and split == n:
-            continue
-        sizes = np.array([len(s) for s in sets], np.int64)
-        links, forest, a, b = np.zeros(n, np.int64), Forest(n), [], []
-        rows, columns = (range(split), range(split, n)) if split < n else (range(n), range(n))
-        for i, inter in intersections(sets, rows, columns):
-            found = np.flatnonzero(linked(sizes[i], inter, sizes[columns.start : columns.stop])) + columns.start
-            found = found[found != i]
-            links[i] += copies[found].sum()
-            if split < n:
-                links[found] += copies[i]
-            for j in found[found > i].tolist():
-                if forest.join(i, j):
-                    a.append(keys[i])
-                    b.append(keys[j])
-        some = np.flatnonzero(links)
-        left = [*[keys[i] for i in some], *a]
-        right = [*[None] * len(some), *b]
-        counts = [*links[some].tolist(), *[0] * len(a)]
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(counts, pa.int64())], names=["a", "b", "links"])
+    current, block, pair, held, unit = None, None, False, [], None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal unit
+        if held and not pair and len(held) > 1:
+            unit = Unit(held)
+            for i, (key, copies, s) in enumerate(held):
+                unit.search(key, copies, s, i)
+        if unit is not None:
+            yield unit.finish()
+
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "pair", "key", "copies")), batch.column("shingles"), strict=True)
+        for u, b, p, key, copies, raw in rows:
+            if u != current:
+                yield from close()
+                current, block, pair, held, unit = u, b, p, [], None
+            s = np.frombuffer(raw.as_py(), np.uint64)
+            if not pair or b == block:
+                held.append((key, copies, s))
+                continue
+            if unit is None:
+                unit = Unit(held)
+                held = []
+            unit.search(key, copies, s)
+    yield from close()
 
 
 def _sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +410,11 @@ def classes(docs: DataFrame) -> DataFrame:
     too), ``copy_id`` the smallest id with the same set.
     """
     rows = docs.select(_id("doc_id").alias("doc_id"), "text").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    sketched = cut_lineage(rows.mapInArrow(_sets_worker, "doc_id long, text_md5 string, key binary, n int, sketch binary"), "sets")
+    sketched = cut_lineage(rows.mapInArrow(_sets_worker, "doc_id long, text_md5 string, key binary, buckets array<long>, small binary"), "sets")
     full = sketched.filter("key is not null")
     sets = cut_lineage(
         full.groupBy("key").agg(
-            F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")
+            F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small")
         ),
         "copies",
     )
@@ -390,12 +430,12 @@ def classes(docs: DataFrame) -> DataFrame:
     own = F.xxhash64(F.col("cluster"), F.col("block"), F.col("block"))
     parts = parts.select("key", "rep", "copies", "unit", "block", (F.col("unit") != own).alias("pair"))
     work = whole.unionByName(parts)
-    # A set's text is read once, made into its set, and only then sent to the units.
-    texts = rows.join(members.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_md5").alias("text_md5"), "key"), ["doc_id", "text_md5"])
-    again = texts.select("key", "text").mapInArrow(_sets_again, "key binary, shingles binary").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+    # One text for each row of ``rep``: rows that are repeated are met before the shuffle. Sets are made behind the join, where only members are left.
+    texts = rows.groupBy("doc_id", "text_md5").agg(F.any_value("text").alias("text"))
+    placed = texts.join(work.select("*", "rep.doc_id", "rep.text_md5").drop("rep"), ["doc_id", "text_md5"]).select("unit", "key", "block", "copies", "pair", "text")
     exact = (
-        work.drop("rep").join(again, "key").repartition("unit").sortWithinPartitions("unit")
-        .select("unit", "key", "block", "copies", "pair", "shingles").mapInArrow(_verify, "a binary, b binary, links long")
+        placed.mapInArrow(_sets_again, "unit long, key binary, block int, copies long, pair boolean, shingles binary")
+        .repartition("unit").sortWithinPartitions("unit", "block", "key").mapInArrow(_verify, "a binary, b binary, links long")
     )
     exact = cut_lineage(exact, "links")
     links = exact.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
