@@ -120,18 +120,19 @@ def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     keys = ("doc_id", "source", "size", "crc")
     counts = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("times") >= k).alias(n) for k, n in enumerate(levels, 1)])
     counts = counts.filter("_t1 > 0").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_n", *levels)
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_k0")) & F.col("source").eqNullSafe(F.col("_k1")) & (F.col("_size") == F.col("_k2")) & (F.col("_crc") == F.col("_k3"))
-    out = rows.join(counts, same).filter("_n = 1").withColumn("_copies", sum((F.col(n) for n in levels), F.lit(0)))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out = out.select(*names, "_copies")
+    # Whole rows travel as one struct, so their columns may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").alias("_r0"), F.col("source").alias("_r1"), word_count(F.col("text")).alias("_r2"), F.crc32(F.coalesce("text", F.lit(""))).alias("_r3"))
+    same = F.col("_r0").eqNullSafe(F.col("_k0")) & F.col("_r1").eqNullSafe(F.col("_k1")) & (F.col("_r2") == F.col("_k2")) & (F.col("_r3") == F.col("_k3"))
+    out = rows.join(counts.filter("_n = 1"), same).select("row", sum((F.col(n) for n in levels), F.lit(0)).alias("copies"))
     if not counts.filter("_n > 1").isEmpty():
         # Rows alike are counted before the shuffle, and each different one takes its part of the key's copies.
-        whole = rows.join(counts.filter("_n > 1"), same).groupBy(*docs.columns, *[f"_k{i}" for i in range(len(keys))], *levels).agg(F.count(F.lit(1)).alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
+        keyed = [f"_k{i}" for i in range(len(keys))]
+        met = rows.join(counts.filter("_n > 1"), same).groupBy("row", *keyed, *levels).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*keyed).orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
         share_of = [F.greatest(F.lit(0), F.least(F.col(n), F.col("_u")) - (F.col("_u") - F.col("_c"))) for n in levels]
-        out = out.unionByName(whole.withColumn("_u", upto).withColumn("_copies", sum(share_of, F.lit(0))).select(*names, "_copies"))
-    return out.filter("_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")).drop("_i")
+        out = out.unionByName(met.withColumn("_u", upto).select("row", sum(share_of, F.lit(0)).alias("copies")))
+    return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,15 +452,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class stays, the one with the smallest id; null and empty texts stay as they are."""
-    names = docs.columns
-    found = classes(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # its columns may have any names
+    full = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = classes(docs.select("doc_id", "text"))
     first = found.filter((F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.text_md5") == F.col("text_md5")))
     first = first.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    rows = docs.withColumn("_row_id", _id("doc_id")).withColumn("_row_md5", F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.filter(full).select(whole, _id("doc_id").alias("_row_id"), F.md5("text").alias("_row_md5"))
     kept = rows.join(first, (F.col("_row_id") == F.col("_id")) & (F.col("_row_md5") == F.col("_md5")), "left_semi")
-    full = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # Rows alike in id and text are one document; the partial aggregate meets them before the shuffle.
-    one = kept.filter(full).groupBy("_row_id", "_row_md5").agg(F.any_value(F.struct(*[F.col(f"`{n}`") for n in names])).alias("_row")).select("_row.*")
+    one = kept.groupBy("_row_id", "_row_md5").agg(F.any_value("row").alias("row")).select("row.*")
     return one.unionByName(docs.filter(~full))
 
 

@@ -167,11 +167,11 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column("__spans__").to_pylist()
             new = [cover(t, s) if s and t is not None else t for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, batch.column(n).type) if n == text else batch.column(n) for n in names], names=names)
 
-    return find(df, text, "_spans").mapInArrow(run, schema)
+    return find(df, text, "__spans__").mapInArrow(run, schema)
 
 
 def _joined(spans: Column) -> Column:

@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, read_table
 
 K, SLICES, BLOCK, ROWS = 5, 4, 4096, 1024
-_NONE = np.iinfo(np.int64).min
+#: Stands for "no score"; its negative is a number too.
+_NONE = -(1 << 62)
 
 
 def integers(df: DataFrame, id_name: str, vector: str, scale: int = 256) -> DataFrame:
     """``(vec_id, v array<int>, dim)``: floor(scale * x) of every usable vector, equal rows once."""
     usable = F.col(id_name).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.filter(usable).select(F.col(id_name).cast("long").alias("vec_id"), v.alias("v")).withColumn("dim", F.size("v"))
+    return df.filter(usable).select(F.col(id_name).cast("long").alias("vec_id"), v.alias("v")).distinct().withColumn("dim", F.size("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -115,7 +116,7 @@ def _resolve(shared, cutoff, dim: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queries = shared.value["ids"], shared.value["v"]
-        floor = cutoff.value  # by query; the least integer where there is none
+        floor = cutoff.value  # by query; `_NONE` where there is none
         open_ended = floor == _NONE
         share = np.where(open_ended, 0, floor)
         best = None
@@ -165,7 +166,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = B
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut_lineage(integers(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "topk-vectors")
-    return search(vectors, vectors.filter("vec_id % 50 = 0").distinct())
+    return search(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
 OP4_SQL = """
