@@ -123,14 +123,18 @@ def summary(edge_rows: DataFrame, node_rows: DataFrame, listed: int = 100) -> Da
 
 def frontier(edge_rows: DataFrame, seeds: DataFrame, max_pages: int = 5000, max_depth: int = 10) -> DataFrame:
     """``(url, depth)`` that a crawl of a recorded site would visit: level by level, first discovery wins, caps on number and depth."""
-    seen = saved(seeds.select("url").distinct().orderBy("url").limit(max_pages).withColumn("depth", F.lit(0)), "frontier")
-    held, level = seen.count(), 0
-    last = seen
+    def first(urls: DataFrame, room: int, level: int) -> tuple[DataFrame, int]:
+        """All of them, or the first ones where there is no room for all."""
+        found = saved(urls.withColumn("depth", F.lit(level)), "frontier")
+        n = found.count()
+        return (found, n) if n <= room else (saved(found.orderBy("url").limit(room), "frontier"), room)
+
+    seen, held = first(seeds.select("url").distinct(), max_pages, 0)
+    last, level = seen, 0
     while held < max_pages and level < max_depth:
         level += 1
         new = last.select(F.col("url").alias("src")).join(edge_rows, "src").select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        last = saved(new.orderBy("url").limit(max_pages - held).withColumn("depth", F.lit(level)), "frontier")
-        n = last.count()
+        last, n = first(new, max_pages - held, level)
         if n == 0:
             break
         seen, held = seen.unionByName(last), held + n
