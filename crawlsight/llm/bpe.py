@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, slices, utf8_view
+from .common import in_batches, read_table, slices, utf8_view
 
 #: The pattern of byte-level BPE files (a fixed value).
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, CUT_BITS = 16, 10
 #: Bytes of chunks that a task remembers.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 8 << 20
 
 _ROLL = np.uint32(0x01000193)
 _SCATTER = np.uint32(0x9E3779B1)
@@ -166,7 +166,7 @@ class ChunkEncoder:
     def _join(self, raw: bytes) -> np.ndarray:
         found = self.joins.get(raw)
         if found is None:
-            if len(self.joins) >= 20_000:
+            if len(self.joins) >= 5_000:
                 self.joins.clear()
             found = self.joins[raw] = self.codec.encode(raw)
         return found
@@ -242,7 +242,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     if decoded:
         schema = schema.add(decoded, T.StringType())
     names = [f.name for f in kept]
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(_worker(path, names, text, ids, decoded), schema)
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(_worker(path, names, text, ids, decoded), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:

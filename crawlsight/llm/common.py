@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +50,18 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text in an Arrow batch; texts of a few kilobytes make batches of a few megabytes on both sides.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The frame, with Arrow batches of its session bounded to ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def doc_key(column: Column) -> Column:
     """A never-null text form of an id."""
     return F.coalesce(column.cast("string"), F.lit("null"))
@@ -76,6 +90,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system at the end of a task: Python workers wait for their next one with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, doc_key, read_table, slices, utf8_view
+from .common import cut_lineage, doc_key, in_batches, read_table, slices, utf8_view
 
 TRAIN_ROWS, TUNE_ROWS = 20_000, 2_000
 ORDERS, BITS = (1, 3, 4), 15
@@ -222,7 +222,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             arrays = [*[batch.column(n) for n in names], pa.array(name, pa.string()), pa.array(score), pa.array(ambiguous)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *[a.name for a in added]])
 
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, *added]))
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def held_out(modulus: int, remainder: int) -> Column:

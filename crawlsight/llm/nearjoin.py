@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix, read_table, slices, span_hashes, utf8_view, words_of
+from .common import cut_lineage, in_batches, mix, read_table, slices, span_hashes, utf8_view, words_of
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5
 SIMILARITY = NUMERATOR / DENOMINATOR
@@ -409,7 +409,7 @@ def classes(docs: DataFrame) -> DataFrame:
     copies, ``n_links`` the number of other rows linked to this one (copies
     too), ``copy_id`` the smallest id with the same set.
     """
-    rows = docs.select(_id("doc_id").alias("doc_id"), "text").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    rows = in_batches(docs).select(_id("doc_id").alias("doc_id"), "text").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
     sketched = cut_lineage(rows.mapInArrow(_sets_worker, "doc_id long, text_md5 string, key binary, buckets array<long>, small binary"), "sets")
     full = sketched.filter("key is not null")
     sets = cut_lineage(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, cut_lineage, doc_key, read_table, runs_of, slices, span_hashes, utf8_view
+from .common import cut_lineage, doc_key, in_batches, read_table, runs_of, slices, _SPACE, span_hashes, utf8_view
 from .langid import held_out
 
 TRAIN_ROWS, VECTOR_ROWS = 20_000, 4_000
@@ -214,7 +214,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text")
             p = net.probability(pool(*utf8_view(batch.column(text)), vectors))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(p)], names=[*names, "score"])
 
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 def op10_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, cut_lineage, doc_key, mix, read_table, runs_of, slices, span_hashes, utf8_view, words_of
+from .common import cut_lineage, doc_key, in_batches, mix, read_table, runs_of, slices, _SPACE, span_hashes, utf8_view, words_of
 
 WINDOW = 8
 #: The rows of labels that a list is learned from, at most, taken by digest of their id.
@@ -109,7 +109,7 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in COUNTS]])
     needed = [*names, *([] if text in names else [text])]
-    return df.select(*[F.col(f"`{n}`") for n in needed]).mapInArrow(_worker(names, text), schema)
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in needed]).mapInArrow(_worker(names, text), schema)
 
 
 def features() -> dict[str, Column]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, runs_of, slices, utf8_view
+from .common import in_batches, read_table, runs_of, slices, utf8_view
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY = 0.62
@@ -148,7 +148,7 @@ def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     kept = [f for f in df.schema.fields if f.name != out]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(out, SPANS)])
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(_worker(names, text, out), schema)
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(_worker(names, text, out), schema)
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
