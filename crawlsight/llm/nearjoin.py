@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, in_batches, mix, read_table, slices, span_hashes, utf8_view, words_of
+from .common import cut_lineage, give_back, in_batches, mix, read_table, slices, span_hashes, utf8_view, words_of
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5
 SIMILARITY = NUMERATOR / DENOMINATOR
@@ -195,6 +195,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
     if a_out:
         yield flush()
+    give_back()
 
 
 def _units(rows: DataFrame, counts: DataFrame, group: str, size: int) -> DataFrame:
@@ -389,6 +390,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
             unit.search(key, copies, s)
     yield from close()
+    give_back()
 
 
 def _sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,13 +165,13 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataF
         return "".join([*out, whole[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _worker(names, text, "__spans__")(batches):  # in one pass: a second operator would take a second Python worker for each task
             texts = batch.column(text).to_pylist()
-            spans = batch.column("__spans__").to_pylist()
+            spans = batch.columns[-1].to_pylist()
             new = [cover(t, s) if s and t is not None else t for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, batch.column(n).type) if n == text else batch.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(new, batch.columns[i].type) if n == text else batch.columns[i] for i, n in enumerate(names)], names=names)
 
-    return find(df, text, "__spans__").mapInArrow(run, schema)
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
 
 
 def _joined(spans: Column) -> Column:
