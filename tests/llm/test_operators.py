@@ -380,3 +380,12 @@ def test_pipeline(spark, sf_dir, rows):
     codec = bpe.Codec(bpe.default_path())
     for r in out:
         assert digest(codec.decode(np.array(r["ids"], np.int64))) == r["decoded_sha256"] and len(r["ids"]) == r["n_tokens"]
+
+
+def test_sketch_bytes_of_unlike_long_texts_differ():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 600)) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts), pa.array(["a", "b"])], names=["doc_id", "text", "text_md5"])
+    (out,) = list(nearjoin._sets_worker(iter([batch])))
+    a, b = (np.frombuffer(x, np.uint8) for x in out.column("small").to_pylist())
+    assert (a == b).mean() < 0.2
