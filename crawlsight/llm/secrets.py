@@ -3,9 +3,12 @@
 A candidate is a run of token characters that mixes letters and digits and
 stands near a sensitive word. Its marginal cost is the compressed size of the
 surroundings with it, less that without it, under a compressor primed with a
-dictionary of identifiers and configuration words. Ordinary identifiers cost
-little; a string that costs ``NOVELTY`` bytes a character or more is reported as
-``novel``. Base spans always stay and carry their cost too.
+dictionary of identifiers and configuration words. Pieces of ``PIECE`` characters
+or more that the surroundings share with it are taken out of them first, so a
+copy nearby doesn't make a secret cheap. Ordinary identifiers cost little; a
+string that costs ``NOVELTY`` bytes a character or more at one place is reported
+as ``novel`` at each place in the text where it is a candidate. Base spans always
+stay and carry their cost too.
 
 Defined cases: a null or empty text has no spans; spans are counted in code
 points; of one kind, spans are leftmost and don't overlap; ties in the order of
@@ -31,6 +34,8 @@ KINDS = ("assign", "access", "hex", "novel")
 NOVELTY = 0.62
 #: Characters before and after a sensitive word in which candidates count, and those that a candidate is compressed with.
 NEAR, AFTER, AROUND = 24, 120, 160
+#: The least length of a candidate, so of what may be a copy of a secret.
+PIECE = 16
 
 
 def _either_case(word: str) -> str:
@@ -70,8 +75,32 @@ class Novelty:
         self._squeeze = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_dict_id=False).compress
 
     def cost(self, text: str, start: int, end: int) -> int:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        return len(self._squeeze((before + text[start:end] + after).encode())) - len(self._squeeze((before + after).encode()))
+        own, first = text[start:end], max(0, start - AROUND)
+        # A copy that the edge of the surroundings cuts is seen whole, or as much of it as tells it.
+        before = _without(text[max(0, first - PIECE + 1) : start], own)[min(first, PIECE - 1) :]
+        after = _without(text[end : end + AROUND + PIECE - 1], own)[:AROUND]
+        cost = self._added(before.replace(_GONE, ""), own, after.replace(_GONE, ""))
+        if _GONE in before or _GONE in after:  # where copies were, what is left may match as a whole without the string only; between copies it doesn't
+            cost = min(cost, self._added(before.rpartition(_GONE)[2], own, after.partition(_GONE)[0]))
+        return cost
+
+    def _added(self, before: str, own: str, after: str) -> int:
+        return len(self._squeeze((before + own + after).encode())) - len(self._squeeze((before + after).encode()))
+
+
+#: Stands for a character that is taken out; it isn't in any text, as UTF-8 has no surrogates.
+_GONE = "\ud800"
+
+
+def _without(text: str, own: str) -> str:
+    """``text`` with ``_GONE`` for each character of a piece that ``own`` has too."""
+    shared = [i for i in range(len(text) - PIECE + 1) if text[i : i + PIECE] in own]
+    if not shared:
+        return text
+    out = list(text)
+    for i in shared:
+        out[i : i + PIECE] = _GONE * PIECE
+    return "".join(out)
 
 
 def hex_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +124,7 @@ def scan(text: str, hexes: list[tuple[int, int]], lowered: str, novelty: Novelty
     if sensitive:
         taken = sorted((a, b) for _, a, b in base)
         seen: set[tuple[int, int]] = set()
+        measured: list[tuple[str, int, int, int]] = []
         for word in _SENSITIVE.finditer(text):
             for m in _CANDIDATE.finditer(text, max(0, word.start() - NEAR), min(len(text), word.end() + AFTER)):
                 a, b = m.span()
@@ -108,8 +138,9 @@ def scan(text: str, hexes: list[tuple[int, int]], lowered: str, novelty: Novelty
                 seen.add((a, b))
                 if any(x < b and a < y for x, y in taken):
                     continue
-                if (cost := novelty.cost(text, a, b)) >= NOVELTY * (b - a):
-                    found.append(("novel", a, b, cost))
+                measured.append(("novel", a, b, novelty.cost(text, a, b)))
+        novel = {text[a:b] for _, a, b, cost in measured if cost >= NOVELTY * (b - a)}
+        found += [m for m in measured if text[m[1] : m[2]] in novel]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
 

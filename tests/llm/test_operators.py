@@ -151,6 +151,17 @@ def test_novel_secrets_stand_near_sensitive_words(spark):
     assert [s["kind"] for s in got[0]] == ["novel"] and got[1] == []
 
 
+@pytest.mark.parametrize("gap", [0, 40, 96, 110, 118, 126, 134, 150, 300])
+def test_copies_of_a_novel_secret_are_all_found(spark, gap):
+    key = "Zx9Qw7Lm3Tn5Vb1Kc8Yp2Rd4"
+    line = f"the bearer {key} was used" + " and so on" * (gap // 10) + "." * (gap % 10) + "\n"
+    texts = [line * 2, line * 3, f"my credential={key} is\nthe bearer {key} was used", "my secret access_key_client_secret2 name\n" * 3]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [[(s["kind"], s["start"]) for s in r["spans"]] for r in secrets.find(frame).collect()]
+    assert got == [[("novel", 11 + i * len(line)) for i in range(n)] for n in (2, 3)] + [[("novel", 3), ("novel", 53)], []]
+    assert all(key not in r["text"] for r in secrets.redact(frame).collect())
+
+
 def test_redaction(docs):
     out = secrets.redact(docs).collect()
     assert all(base_spans(r["text"]) == [] for r in out)
