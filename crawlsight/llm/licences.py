@@ -3,16 +3,17 @@
 A paragraph (a line of a text) is told to a licence family by multinomial
 logistic regression over the presence of word unigrams and bigrams. The weights
 are made sparse by an L1 penalty and are at most ``MAX_FEATURES``. One class is
-"unknown": it is trained on paragraphs of the corpus itself, and a temperature
+"unknown": it is trained on paragraphs of the corpus itself and on words of the
+templates that stand alone or among words of the corpus, and a temperature
 fitted on rows kept back calibrates the probabilities; a family under
 ``THRESHOLD`` is unknown. A prediction is confirmed if the paragraph holds half
 of the n-grams of one of the family's templates.
 
 The model trains in numpy on the templates, cut and noised, and on at most
-about ``SAMPLE_ROWS`` documents' paragraphs, taken by digest of their id. Words
-of ``CUE`` letters or more that cover the families' training paragraphs (those
-with such a word) and don't occur in the sampled paragraphs are its cues: a
-paragraph with none of them is unknown without being scored.
+about ``SAMPLE_ROWS`` documents' paragraphs, taken by digest of their id. Every
+paragraph that can reach ``THRESHOLD`` is scored: the weights alone give words
+(cues) without any of which no family can come that far before unknown, and only
+paragraphs with none of them aren't scored.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none;
 ties between families go to the first in name; rows repeated are scanned alike;
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +36,6 @@ from .common import doc_key, read_table
 
 SAMPLE_ROWS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 1_000, 4_000, 400
 MAX_FEATURES, THRESHOLD, OVERLAP = 512, 0.6, 0.5
-#: Letters of a cue at least; shorter ones occur inside too many other words.
-CUE = 6
 UNKNOWN = "unknown"
 
 #: Usual notices by family (fixed values).
@@ -97,7 +97,29 @@ class Model:
     features: dict[str, tuple[float, ...]]
     intercepts: tuple[float, ...]
     temperature: float
-    cues: tuple[str, ...]
+
+    def cues(self) -> tuple[str, ...] | None:
+        """Words of which a paragraph holds one if any family can have ``THRESHOLD``; None if a paragraph without any word can.
+
+        A family with that probability has log odds against unknown of at least the logit of ``THRESHOLD``. Words are left out,
+        the shortest first, while all that the features told by them can add stays under that for every family.
+        """
+        margins = {g: np.array(w[:-1]) - w[-1] for g, w in self.features.items()}
+        spare = self.temperature * np.log(THRESHOLD / (1 - THRESHOLD)) + self.intercepts[-1] - np.array(self.intercepts[:-1]) - 1e-6
+        if spare.min() <= 0:
+            return None
+        adds: dict[str, np.ndarray] = {}
+        for g, margin in margins.items():
+            if (margin > 0).any():
+                word = max(g.split(" "), key=lambda v: (len(v), v))
+                adds[word] = adds.get(word, 0) + np.maximum(margin, 0)
+        cues = []
+        for word in sorted(adds, key=lambda v: (len(v), (adds[v] / spare).max(), v)):
+            if (adds[word] < spare).all():
+                spare = spare - adds[word]
+            else:
+                cues.append(word)
+        return tuple(cues)
 
 
 def _noised(text: str, filler: list[str], rng: np.random.Generator) -> str:
@@ -130,6 +152,13 @@ def train(negatives: list[str], copies: int = 25, seed: int = 5, rounds: int = 2
             rows.append((set(grams(t)), i))
             rows += [(set(grams(_noised(t, filler, rng))), i) for _ in range(copies)]
     positives = [g for g, y in rows if y < len(families)]
+    # Words of notices that stand alone or among others are unknown too: prose has them.
+    loose = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()})
+    for _ in range(len(positives)):
+        words = [*rng.choice(loose, int(rng.integers(1, 6))), *(rng.choice(filler, int(rng.integers(0, 8))) if filler else [])]
+        g = set(grams(" ".join(rng.permutation(words))))
+        if not any(len(t & g) >= OVERLAP * len(t) for _, t in known):
+            rows.append((g, len(families)))
     count = Counter(x for g in positives for x in g)
     vocabulary = [x for x, c in count.items() if c >= 3]
     at = {x: j for j, x in enumerate(vocabulary)}
@@ -158,14 +187,8 @@ def train(negatives: list[str], copies: int = 25, seed: int = 5, rounds: int = 2
         nll = np.logaddexp.reduce(z / t, axis=1) - (z * y[back]).sum(1) / t
         if best is None or nll.mean() < best[0]:
             best = (nll.mean(), float(t))
-    in_corpus = {v for p in clean for v in _TOKEN.findall(p.lower())}
-    cues, open_rows = [], [{v for v in g if " " not in v and len(v) >= CUE and v not in in_corpus} for g in positives]
-    while any(open_rows):
-        cue = min(Counter(v for g in open_rows for v in g).items(), key=lambda c: (-c[1], c[0]))[0]
-        cues.append(cue)
-        open_rows = [g for g in open_rows if cue not in g and g]
     features = {vocabulary[j]: tuple(float(v) for v in w[j]) for j in keep}
-    return Model(families, features, tuple(float(v) for v in b), best[1] if best else 1.0, tuple(cues))
+    return Model(families, features, tuple(float(v) for v in b), best[1] if best else 1.0)
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
@@ -184,28 +207,27 @@ def _vector(values: tuple[float, ...]) -> Column:
 
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
     """Add array<struct<paragraph, family, probability, overlap, confirmed>> of the paragraphs that aren't unknown. No shuffle, no Python."""
-    names, n = list(model.features), len(model.families)
+    names, n, cues = list(model.features), len(model.families), model.cues()
     # Constants, folded once when the plan is made; their size is bounded by MAX_FEATURES and the templates.
     weights = F.from_json(F.lit(json.dumps(model.features)), "map<string,array<double>>")
     templates = F.from_json(F.lit(json.dumps([[grams(t) for t in TEMPLATES[f]] for f in model.families])), "array<array<array<string>>>")
 
-    def cued(column: Column) -> Column:
-        low = F.lower(column)
-        found = F.contains(low, F.lit(model.cues[0]))
-        for cue in model.cues[1:]:
-            found = found | F.contains(low, F.lit(cue))
-        return found
+    single, double = [g for g in names if " " not in g], [g for g in names if " " in g]
+    openers = sorted({g.split(" ")[0] for g in double})
+
+    def words_of(p: Column) -> Column:
+        return F.filter(F.split(F.lower(p), "[^a-z0-9]+"), lambda w: w != "")
 
-    def grams_of(p: Column) -> Column:
-        words = F.filter(F.split(F.lower(p), "[^a-z0-9]+"), lambda w: w != "")
-        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.array_distinct(F.concat(words, pairs))
+    def pairs_of(words: Column, pair: Callable[[Column, Column], Column]) -> Column:
+        n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, 1, n_pairs), F.slice(words, 2, n_pairs), pair)
 
     def scored(line: Column) -> Column:
-        own = grams_of(line["p"])
-        hits = F.filter(own, lambda g: g.isin(names))
+        words = line["words"]
+        pairs = pairs_of(words, lambda a, b: F.when(a.isin(openers), F.concat_ws(" ", a, b)))
+        hits = F.array_distinct(F.concat(F.filter(words, lambda g: g.isin(single)), F.filter(pairs, lambda g: g.isin(double))))
         raw = F.aggregate(hits, _vector(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        return F.struct(line["i"].alias("i"), own.alias("grams"), raw.alias("z"))
+        return F.struct(line["i"].alias("i"), words.alias("words"), raw.alias("z"))
 
     def decided(s: Column) -> Column:
         top = F.array_max(s["z"])
@@ -214,16 +236,22 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         inside = F.slice(s["z"], 1, n)
         best = F.array_position(inside, F.array_max(inside)).cast("int")
         probability = F.element_at(exps, best) / total
-        overlap = F.array_max(F.transform(F.element_at(templates, best), lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t)))
+        return F.struct(s["i"].alias("paragraph"), best.alias("best"), probability.alias("probability"), s["words"].alias("words"))
+
+    def compared(d: Column) -> Column:
+        own = F.array_distinct(F.concat(d["words"], pairs_of(d["words"], lambda a, b: F.concat_ws(" ", a, b))))
+        overlap = F.array_max(F.transform(F.element_at(templates, d["best"]), lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
         return F.struct(
-            s["i"].alias("paragraph"), F.element_at(F.array(*[F.lit(f) for f in model.families]), best).alias("family"),
-            probability.alias("probability"), overlap.alias("overlap"), (overlap >= OVERLAP).alias("confirmed"),
+            d["paragraph"].alias("paragraph"), F.element_at(F.array(*[F.lit(f) for f in model.families]), d["best"]).alias("family"),
+            d["probability"].alias("probability"), overlap.alias("overlap"), (overlap >= OVERLAP).alias("confirmed"),
         )
 
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: cued(s["p"]))
-    found = F.filter(F.transform(F.transform(lines, scored), decided), lambda d: d["probability"] >= THRESHOLD)
+    lines = F.transform(F.split(F.col(text), "\n"), lambda p, i: F.struct(words_of(p).alias("words"), i.alias("i")))
+    if cues is not None:
+        lines = F.filter(lines, lambda s: F.exists(s["words"], lambda w: w.isin(list(cues))))
+    found = F.transform(F.filter(F.transform(F.transform(lines, scored), decided), lambda d: d["probability"] >= THRESHOLD), compared)
     nothing = F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
-    return df.withColumn(out, F.when(F.col(text).isNotNull() & cued(F.col(text)), found).otherwise(nothing))
+    return df.withColumn(out, F.when(F.col(text).isNotNull(), found).otherwise(nothing))
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

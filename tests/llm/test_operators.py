@@ -269,6 +269,28 @@ def test_licences(spark):
     assert all(r["licences"] == [] for r in got if r["doc_id"] >= 900)
 
 
+def test_licences_are_scored_in_prose_that_has_their_words(spark):
+    prose = [t for i in range(75) for t in (f"the software was released as number {i} of many", f"she has rights under the public law {i}", f"a table was reserved by its general owner {i}", f"a driving license of version {i} was found")]
+    model = licences.train(prose)
+    short = [("mit", "Released under the MIT License."), ("reserved", "All rights reserved."), ("apache", "Licensed under the Apache License, Version 2.0.")]
+    frame = spark.createDataFrame([(f, f"{prose[i]}\n{t}") for i, (f, t) in enumerate(short)], "family string, text string")
+    got = {r["family"]: {d["family"] for d in r["licences"] if d["confirmed"]} for r in licences.scan(frame, model).collect()}
+    assert got == {f: {f} for f, _ in short}
+
+
+@pytest.mark.parametrize("negatives", [["plain words"] * 50, [], [f"the software was released and all rights are reserved {i}" for i in range(200)]])
+def test_licence_gate_changes_nothing(spark, monkeypatch, negatives):
+    model = licences.train(negatives)
+    texts = [t for ts in licences.TEMPLATES.values() for t in ts]
+    rng = np.random.default_rng(3)
+    pool = sorted({w for t in texts for w in t.split()}) + ["plain", "words", "the", "of"]
+    texts += [" ".join(rng.choice(pool, int(rng.integers(1, 9)))) for _ in range(600)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    gated = sorted(map(str, licences.scan(frame, model).collect()))
+    monkeypatch.setattr(licences.Model, "cues", lambda self: None)
+    assert gated == sorted(map(str, licences.scan(frame, model).collect()))
+
+
 def test_licence_plan_has_no_python(spark, docs):
     model = licences.train(["plain words"] * 50)
     plan = licences.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
