@@ -4,7 +4,9 @@ The statistics of every text come from one pass over its bytes. A list of rules
 is learned from labelled rows by sequential covering: a rule grows by the
 threshold condition that gains most information about the bad rows, is pruned
 on rows it hasn't grown on, and what it covers is taken away before the next
-one grows. The rules become one ordered Spark conditional expression.
+one grows. Thresholds are the midpoints between all neighbouring distinct values
+of the rows that a condition is chosen on. The rules become one ordered Spark
+conditional expression.
 
 Defined cases: a null text counts as an empty one, with no words, so it fails
 the base rule; equal lines and word windows are found by 64-bit hashes; a
@@ -152,14 +154,19 @@ def _covers(rule: tuple[Condition, ...], table: dict[str, np.ndarray], n: int) -
     return out
 
 
-def learn(table: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 3, precision: float = 0.8, steps: int = 48) -> list[tuple[Condition, ...]]:
+def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Midpoints that part ``low`` from ``high`` under ``<`` and ``>=``, neighbouring floats too."""
+    middle = low + (high - low) / 2
+    return np.where(middle > low, middle, high)
+
+
+def learn(table: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 3, precision: float = 0.8) -> list[tuple[Condition, ...]]:
     """An ordered list of conjunctions that mark bad rows."""
     bad = bad.astype(bool)
     n = len(bad)
     grow = np.arange(n) % 3 != 2
     left = np.ones(n, bool)
     rules: list[tuple[Condition, ...]] = []
-    cuts = {f: np.unique(np.quantile(x, np.linspace(0, 1, steps + 1)[1:-1])) for f, x in table.items()} if n else {}
     while len(rules) < max_rules and (bad & left & grow).any():
         rule: tuple[Condition, ...] = ()
         inside = left & grow
@@ -168,10 +175,11 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, ma
             if n0 == 0 or p0 == 0:
                 break
             best, gain = None, 1e-9
-            for f, thresholds in cuts.items():
+            for f in table:
                 order = np.argsort(table[f][inside], kind="stable")
                 x, y = table[f][inside][order], bad[inside][order]
-                under = np.searchsorted(x, thresholds, side="left")
+                under = np.flatnonzero(x[1:] > x[:-1]) + 1
+                thresholds = _between(x[under - 1], x[under])
                 hits = np.concatenate([[0], np.cumsum(y)])[under]
                 for above in (True, False):
                     p, t = (p0 - hits, len(x) - under) if above else (hits, under)

@@ -224,6 +224,17 @@ def test_decision_list_finds_conjunctions():
     assert rules.learn(table, np.zeros(3000, bool)) == []
 
 
+def test_decision_list_cuts_statistics_that_are_mostly_nought():
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(4000) < 0.9, 0, rng.uniform(0.5, 3, 4000))
+    bad = np.zeros(4000, bool)
+    bad[:60] = True
+    x[:60] = rng.uniform(0.05, 0.4, 60)
+    found = rules.learn({"symbols": x, "words": rng.random(4000)}, bad)
+    covered = np.logical_or.reduce([rules._covers(r, {"symbols": x}, 4000) if all(c.feature == "symbols" for c in r) else np.zeros(4000, bool) for r in found])
+    assert (covered & bad).sum() >= 58 and not (covered & ~bad).any()
+
+
 # 6
 
 
