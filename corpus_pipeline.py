@@ -10,8 +10,11 @@ from crawlsight.llm.common import cut_lineage
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any text in a language (``und``) go."""
-    predicted = langid.predict(docs, langid.fit(docs))
+    """Documents without any text in a language (``und``) go; where nothing has a language to learn from, those without a letter."""
+    model = langid.fit(docs)
+    if model is None:
+        return langid.lettered(docs)
+    predicted = langid.predict(docs, model)
     return predicted.filter(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -225,6 +225,18 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, *added]))
 
 
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose ``text`` has a letter. No shuffle."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 1 << 20):
+            raw, offsets = utf8_view(batch.column(text))
+            yield batch.filter(pa.array(has_letter(raw, offsets, fold(raw))))
+
+    return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, df.schema)
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(doc_key(F.col("doc_id"))), F.lit(modulus)) == remainder
 

@@ -433,3 +433,14 @@ def test_sketch_bytes_of_unlike_long_texts_differ():
     (out,) = list(nearjoin._sets_worker(iter([batch])))
     a, b = (np.frombuffer(x, np.uint8) for x in out.column("small").to_pylist())
     assert (a == b).mean() < 0.2
+
+
+def test_pipeline_keeps_lettered_texts_without_any_language(spark, docs, sf_dir):
+    import corpus_pipeline
+
+    _, identify = corpus_pipeline.STAGES[0]
+    bare = docs.selectExpr(*["cast(null as string) as lang" if c == "lang" else c for c in docs.columns])
+    out = identify(spark, bare, sf_dir)
+    want = collections.Counter(r["doc_id"] for r in bare.collect() if any(c.isalpha() for c in r["text"] or ""))
+    assert out.columns == bare.columns and collections.Counter(r["doc_id"] for r in out.collect()) == want
+    assert want and not {103, 104, 105, 107} & set(want)
