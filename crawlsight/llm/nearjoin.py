@@ -11,12 +11,12 @@ token form a bucket. A bucket of more than ``SMALL`` sets is split again on
 tokens drawn for its path, ``DEPTH`` times at most; what is then still large
 (many sets that are alike) is compared in blocks. Small buckets are searched by
 brute force on the whole sketches. Enough runs are made that a pair at the
-threshold shares a first bucket with probability ``RECALL``.
+threshold meets in a bucket, on all levels, with probability ``RECALL``.
 
 What the buckets find are candidates, taken generously (``SKETCH`` under the
 threshold). Candidates that hang together form clusters, and inside each cluster
-all pairs are compared exactly on whole sets, in blocks where the cluster is
-large, so a link between two sets of one cluster isn't lost even if no run found
+all pairs are compared exactly on whole sets, in blocks where the cluster has
+many sets or n-grams, so a link between two sets of one cluster isn't lost even if no run found
 that pair. No step emits all pairs: the exact step counts links for each set and
 emits a spanning forest.
 
@@ -43,11 +43,13 @@ from .common import cut_lineage, give_back, in_batches, mix, read_table, slices,
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5
 SIMILARITY = NUMERATOR / DENOMINATOR
-TOKENS, RECALL, SMALL, DEPTH = 64, 0.9999999, 4096, 2
+TOKENS, RECALL, SMALL, DEPTH = 64, 0.999999, 4096, 2
 #: Agreement of sketches from which a pair is a candidate: five deviations under the threshold.
 SKETCH = 0.55
-#: Sets in a block of the exact step; a task holds two blocks.
-BLOCK = 8192
+#: Sets and n-grams in a block of the exact step; a task holds one block and a stream of another.
+BLOCK, BLOCK_GRAMS = 8192, 1 << 21
+#: Bits of a bitmap of row digests (4 MB), which leaves texts that can't be asked for out of a shuffle.
+FILTER_BITS = 1 << 25
 #: The most frequent n-grams of a unit, those in more than ``DENSE`` sets and ``BITS`` at most, are counted by bits; the others by pairs.
 DENSE, BITS = 48, 1 << 15
 
@@ -111,19 +113,27 @@ def _sets_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bytes_of = (mix(values.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)  # a minimum's own high bits are nearly all 0
             for at, k in enumerate(np.flatnonzero(full).tolist()):
                 buckets[k], small[k] = first[at], bytes_of[at].tobytes()
-        arrays = [batch.column("doc_id"), batch.column("text_md5"), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(small, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_md5", "key", "buckets", "small"])
+        grams = pa.array([len(s) for s in sets], pa.int64())
+        arrays = [batch.column("doc_id"), batch.column("text_md5"), pa.array(keys, pa.binary()), grams, pa.array(buckets, pa.list_(pa.int64())), pa.array(small, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_md5", "key", "grams", "buckets", "small"])
 
 
 def runs_needed(recall: float = RECALL) -> list[list[int]]:
-    """The tokens that each run draws at the root; all sets draw the same ones."""
+    """The tokens that each run draws at the root; all sets draw the same ones.
+
+    A pair at the threshold that shares a drawn token meets in that bucket, and
+    in each of ``DEPTH`` further levels, should the bucket be split, it shares
+    one of two tokens; runs are made until all of that fails with less than
+    ``1 - recall``.
+    """
     rng = np.random.default_rng(41)
     free = list(rng.permutation(TOKENS))
     runs, missed = [], 1.0
+    meets = SIMILARITY * (1 - (1 - SIMILARITY) ** 2) ** DEPTH
     while missed > 1 - recall and free:
         drawn = 1 + int(rng.random() < 1 / SIMILARITY - 1)
         runs.append([int(free.pop()) for _ in range(min(drawn, len(free)))])
-        missed *= (1 - SIMILARITY) ** len(runs[-1])
+        missed *= (1 - meets) ** len(runs[-1])
     return runs
 
 
@@ -198,9 +208,9 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _units(rows: DataFrame, counts: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows of large groups, sent to every pair of blocks that theirs takes part in, as a new group."""
-    big = rows.join(counts.select(group, F.ceil(F.col("n") / size).cast("int").alias("_nb")), group)
+def _units(rows: DataFrame, blocks: DataFrame, group: str) -> DataFrame:
+    """Rows of large groups, sent to every pair of blocks that theirs takes part in, as a new group; ``blocks``: the group and ``_nb``, its number of blocks."""
+    big = rows.join(blocks, group)
     block = F.pmod(F.xxhash64("key"), F.col("_nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), lambda j: F.xxhash64(F.col(group), F.least(j, F.col("_block")), F.greatest(j, F.col("_block"))))
     return big.withColumn("_block", block).withColumn("_unit", F.explode(pairs))
@@ -212,7 +222,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     level = sets.select(F.explode("buckets").alias("bucket"), "key")
     found = None
     for depth in range(DEPTH + 1):
-        counts = cut_lineage(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-counts")
+        counts = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = level.join(counts, "bucket")
         if depth == 0:  # most sets are alone in their buckets; only the others take their sketches along
             shared = shared.join(small, "key")
@@ -226,38 +236,49 @@ def candidates(sets: DataFrame) -> DataFrame:
         if depth < DEPTH:
             level = cut_lineage(large.select("bucket", "key", "small").mapInArrow(_next_buckets, "bucket long, key binary, small binary"), "path-split")
         else:
-            units = _units(large.select("bucket", "key", "small"), counts.filter(F.col("n") > SMALL), "bucket", SMALL).select(F.col("_unit").alias("bucket"), "key", "small")
+            blocks = large.groupBy("bucket").agg(F.ceil(F.any_value("n") / SMALL).cast("int").alias("_nb"))
+            units = _units(large.select("bucket", "key", "small"), blocks, "bucket").select(F.col("_unit").alias("bucket"), "key", "small")
             found = found.unionByName(units.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_brute, "a binary, b binary"))
-    return found.distinct()
+    return found
+
+
+def _digest(doc_id: Column, text_md5: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text_md5), F.lit(FILTER_BITS)) + 1
+
+
+def bitmap(rows: DataFrame) -> DataFrame:
+    """``(_of, _bits)``: which digests the rows ``(doc_id, text_md5)`` have; ``FILTER_BITS`` bits at most, whatever the input."""
+    found = rows.select(_digest(F.col("doc_id"), F.col("text_md5")).alias("d")).select(F.bitmap_bucket_number("d").alias("_of"), F.bitmap_bit_position("d").alias("_at"))
+    return found.repartition("_of").groupBy("_of").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+
+
+def with_maybe(rows: DataFrame, doc_id: str, text_md5: str, bits: DataFrame) -> DataFrame:
+    """Add ``_maybe``: false where the bitmap says that a row isn't in it, true for all that are and some that aren't. No shuffle."""
+    digest = _digest(F.col(doc_id), F.col(text_md5))
+    marked = rows.withColumn("_of", F.bitmap_bucket_number(digest)).withColumn("_at", F.bitmap_bit_position(digest))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.col("_bits").isNotNull() & (F.coalesce(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")), F.lit(0)) == 1)
+    return marked.join(F.broadcast(bits), "_of", "left").withColumn("_maybe", bit).drop("_of", "_at", "_bits")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(key, root)``: the smallest key that hangs together with each key of the edges ``(a, b)``.
 
-    Minimum labels, with every label replaced by its own label each round; the
-    rounds grow with the logarithm of the longest chain. Edges shrink to those
-    between different labels.
+    Alternating stars: every key hands the least key around it first to its
+    larger neighbours, then to its smaller ones, which keeps what hangs together.
+    It ends when each tree is a star, whose centre is the least key; the rounds
+    grow with the logarithm of the longest chain, and each writes one table.
     """
-    edges = cut_lineage(edges.select("a", "b").filter("a <> b"), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    labels = cut_lineage(nodes.withColumn("root", F.col("key")), "labels")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a")
-        hooked = cut_lineage(lowest.select(F.col("a").alias("key"), F.col("m").alias("to")), "hooks")
-        if hooked.isEmpty():
-            return labels
-        while True:  # chains of hooks end in roots, as every hook goes to a smaller key
-            up = hooked.select(F.col("key").alias("to"), F.col("to").alias("further"))
-            jumped = cut_lineage(hooked.join(up, "to", "left").select("key", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "hooks")
-            hooked = jumped.select("key", "to")
-            if jumped.filter("moved").isEmpty():
-                break
-        to = hooked.select(F.col("key").alias("root"), "to")
-        labels = cut_lineage(labels.join(to, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "labels")
-        for side in ("a", "b"):
-            edges = edges.join(hooked.select(F.col("key").alias(side), F.col("to").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-        edges = cut_lineage(edges.filter("a <> b").distinct(), "edges")
+    stars = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct()
+    stars = cut_lineage(stars, "edges")
+    while not stars.join(stars.select(F.col("m").alias("v")), "v", "left_semi").isEmpty():
+        both = stars.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(stars.select(F.col("m").alias("a"), F.col("v").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        out = both.filter("b > a").join(least, "a").select(F.col("b").alias("v"), "m").distinct()
+        lower = out.groupBy("v").agg(F.min("m").alias("r"))
+        inner = out.join(lower, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("r").alias("m")), F.struct("v", F.col("r").alias("m")))).alias("e"))
+        stars = cut_lineage(inner.select("e.*").filter("v <> m").distinct(), "stars")
+    return stars.select(F.col("v").alias("key"), F.col("m").alias("root")).unionByName(stars.select(F.col("m").alias("key"), F.col("m").alias("root")).distinct())
 
 
 def linked(sizes: np.ndarray, inter: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -354,11 +375,6 @@ class Unit:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
 
-def linked(sizes: np.ndarray, inter: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Jaccard of 4/5 or more, in integers: 5 i >= 4 (a + b - i)."""
-    return (NUMERATOR + DENOMINATOR) * inter >= NUMERATOR * (sizes + other)
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by unit and block. A unit is a cluster, searched by its own sets, or two blocks of one, of which the first is held and the second streams by.
 
@@ -405,35 +421,35 @@ def _id(column: str) -> Column:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs`` (``doc_id``, ``text``): ``doc_id, text_md5, class_id, n_links, copy_id``.
+    """For every row of ``docs`` (``doc_id``, ``text``): ``doc_id, text_md5, class, n_links, copy_id, alone``.
 
-    ``class_id`` is the smallest id among the rows that hang together by links or
-    copies, ``n_links`` the number of other rows linked to this one (copies
-    too), ``copy_id`` the smallest id with the same set.
+    ``class`` holds the smallest id (and that row's digest) among the rows that
+    hang together by links or copies, ``n_links`` the number of other rows linked
+    to this one (copies too), ``copy_id`` the smallest id with the same set;
+    ``alone`` rows are the only one of their class.
     """
     rows = in_batches(docs).select(_id("doc_id").alias("doc_id"), "text").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    sketched = cut_lineage(rows.mapInArrow(_sets_worker, "doc_id long, text_md5 string, key binary, buckets array<long>, small binary"), "sets")
+    sketched = cut_lineage(rows.mapInArrow(_sets_worker, "doc_id long, text_md5 string, key binary, grams long, buckets array<long>, small binary"), "sets")
     full = sketched.filter("key is not null")
     sets = cut_lineage(
         full.groupBy("key").agg(
-            F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small")
+            F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("grams").alias("grams"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small")
         ),
         "copies",
     )
     clusters = components(candidates(sets)).withColumnRenamed("root", "cluster")
-    members = cut_lineage(clusters.join(sets.select("key", "rep", "copies"), "key"), "members")
-    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    whole = members.join(counts.filter(F.col("n") <= BLOCK).select("cluster"), "cluster").select(
+    members = cut_lineage(clusters.join(sets.select("key", "rep", "copies", "grams"), "key"), "members")
+    counts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("_nb"))
+    whole = members.join(counts.filter("_nb = 1").select("cluster"), "cluster").select(
         "key", "rep", "copies", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("block"), F.lit(False).alias("pair")
     )
-    parts = _units(members, counts.filter(F.col("n") > BLOCK), "cluster", BLOCK).select(
-        "key", "rep", "copies", F.col("_unit").alias("unit"), F.col("_block").alias("block"), "cluster"
-    )
+    parts = _units(members, counts.filter("_nb > 1"), "cluster").select("key", "rep", "copies", F.col("_unit").alias("unit"), F.col("_block").alias("block"), "cluster")
     own = F.xxhash64(F.col("cluster"), F.col("block"), F.col("block"))
     parts = parts.select("key", "rep", "copies", "unit", "block", (F.col("unit") != own).alias("pair"))
     work = whole.unionByName(parts)
-    # One text for each row of ``rep``: rows that are repeated are met before the shuffle. Sets are made behind the join, where only members are left.
-    texts = rows.groupBy("doc_id", "text_md5").agg(F.any_value("text").alias("text"))
+    # Ids first: only texts that a bitmap of the members has are shuffled, one for each row of ``rep``. Sets are made behind the join.
+    asked = with_maybe(rows, "doc_id", "text_md5", bitmap(members.select("rep.*"))).filter("_maybe")
+    texts = asked.groupBy("doc_id", "text_md5").agg(F.any_value("text").alias("text"))
     placed = texts.join(work.select("*", "rep.doc_id", "rep.text_md5").drop("rep"), ["doc_id", "text_md5"]).select("unit", "key", "block", "copies", "pair", "text")
     exact = (
         placed.mapInArrow(_sets_again, "unit long, key binary, block int, copies long, pair boolean, shingles binary")
@@ -442,28 +458,41 @@ def classes(docs: DataFrame) -> DataFrame:
     exact = cut_lineage(exact, "links")
     links = exact.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(exact.filter("b is not null").select("a", "b"))
-    named = sets.select("key", "rep", "copies").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # Only sets that are linked need a class from others; the rest are classes of their own.
+    named = roots.join(sets.select("key", "rep"), "key")
     first = named.groupBy("root").agg(F.min("rep").alias("class"))
-    by_key = named.join(first, "root").join(links, "key", "left").select(
-        "key", F.col("class"), F.col("rep.doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    linked_sets = named.join(first, "root").select("key", "class").join(links, "key", "left")
+    by_key = sets.select("key", "rep", "copies").join(linked_sets, "key", "left").select(
+        "key", F.coalesce("class", "rep").alias("class"), F.col("rep.doc_id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        (F.col("class").isNull() & (F.col("copies") == 1)).alias("alone"),
+    )
+    out = full.select("doc_id", "text_md5", "key").join(by_key, "key").select("doc_id", "text_md5", "class", "n_links", "copy_id", "alone")
+    single = sketched.filter("key is null").select(
+        "doc_id", "text_md5", F.struct("doc_id", "text_md5").alias("class"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.lit(True).alias("alone")
     )
-    out = full.select("doc_id", "text_md5", "key").join(by_key, "key").select("doc_id", "text_md5", "class", "n_links", "copy_id")
-    alone = sketched.filter("key is null").select("doc_id", "text_md5", F.struct("doc_id", "text_md5").alias("class"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"))
-    return out.unionByName(alone)
+    return out.unionByName(single)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class stays, the one with the smallest id; null and empty texts stay as they are."""
+    """One row of each class stays, the one with the smallest id; null and empty texts stay as they are.
+
+    Rows that are alone in their class, by a bitmap of those that aren't, stay
+    without a shuffle; the others meet the list of them.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # its columns may have any names
     full = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = classes(docs.select("doc_id", "text"))
-    first = found.filter((F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.text_md5") == F.col("text_md5")))
-    first = first.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    rows = docs.filter(full).select(whole, _id("doc_id").alias("_row_id"), F.md5("text").alias("_row_md5"))
-    kept = rows.join(first, (F.col("_row_id") == F.col("_id")) & (F.col("_row_md5") == F.col("_md5")), "left_semi")
-    # Rows alike in id and text are one document; the partial aggregate meets them before the shuffle.
-    one = kept.groupBy("_row_id", "_row_md5").agg(F.any_value("row").alias("row")).select("row.*")
-    return one.unionByName(docs.filter(~full))
+    touched = classes(docs.select("doc_id", "text")).filter(~F.col("alone")).select(
+        F.col("doc_id"), "text_md5", ((F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.text_md5") == F.col("text_md5"))).alias("first")
+    )
+    touched = cut_lineage(touched.distinct(), "touched")
+    rows = docs.select(whole, _id("doc_id").alias("_row_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_row_md5"), full.alias("_full"))
+    rows = with_maybe(rows, "_row_id", "_row_md5", bitmap(touched))
+    met = rows.filter("_full and _maybe").join(
+        touched.select(F.col("doc_id").alias("_row_id"), F.col("text_md5").alias("_row_md5"), "first"), ["_row_id", "_row_md5"], "left"
+    )
+    # Rows alike in id and text are one document; what the bitmap took in by chance stays.
+    one = met.filter("first is null or first").groupBy("_row_id", "_row_md5").agg(F.any_value("row").alias("row"))
+    return rows.filter("not (_full and _maybe)").select("row.*").unionByName(one.select("row.*"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
