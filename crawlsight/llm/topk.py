@@ -1,28 +1,35 @@
 """Exact top-k search by inner product: a three-phase uniform threshold.
 
-Vectors are cut into ``SLICES`` runs of components; a slice's part of the inner
-product is a local score, and the score is the sum of the parts.
-
-1. Every task lists its best rows by each local score, resolves those rows in
-   full and hands on the k best sums; the k-th best of all tasks is a cutoff
-   that the true k-th score reaches or exceeds.
-2. The cutoff is broadcast. A row whose sum reaches it must reach
-   ``cutoff / SLICES`` in at least one slice, so all rows that do are collected.
-3. Their other slices are resolved exactly; each task keeps its k best by score
-   and then smaller id, and the best of those are the answer.
+Vectors are cut into ``SLICES`` runs of components, those in which the queries
+have the most energy first; a slice's part of the inner product is a local
+score, and the score is the sum of the parts.
+
+1. Every task computes the first slice's local scores only, lists the ``LIST``
+   best of every ``ROWS`` rows by them, resolves those in full and hands on its k
+   best sums; the k-th best of all tasks is a cutoff that the true k-th score
+   reaches or exceeds.
+2. The cutoff is broadcast. A row's score is at most its parts so far and, for
+   the slices that are open, the product of the norms (Cauchy-Schwarz); slice by
+   slice, the entries whose bound reaches the cutoff, or the task's own k-th best
+   where that is higher, are collected and the others get no further slice.
+3. What is left has all its slices and so its exact score; each task keeps its k
+   best by score and then smaller id, and the best of those are the answer.
 
 Queries go in blocks of about ``BLOCK`` so that what is broadcast has a bound;
-each block is set against all rows.
+each block is set against all rows, and its answers are written before the next
+one's turn, so plans don't grow with the number of blocks.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without an id, take no part; vectors of another length than a query's are
-no candidates for it; ties go to the smaller id; rows equal in id and vector
-count once; a row with the query's own id is no candidate; with fewer than k
-candidates all are given; an empty table gives an empty result.
+no candidates for it; ties go to the smaller id; rows equal in id and vector,
+and candidates equal in id and score, count once; a row with the query's own id
+is no candidate; with fewer than k candidates all are given; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read_table
+from .common import cut_lineage, read_table, shared_dir
 
-K, SLICES, BLOCK, ROWS = 5, 4, 4096, 1024
+K, SLICES, BLOCK, ROWS = 5, 8, 4096, 1024
+#: Rows of ``ROWS`` that the first phase resolves for each query.
+LIST = 8
+#: A share of entries under which a slice is computed for the entries alone, not for whole rows.
+SPARSE = 0.1
 #: Stands for "no score"; its negative is a number too.
 _NONE = -(1 << 62)
 
@@ -49,36 +60,121 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def _parts(rows: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
-    """Local scores by slice, exact: floats where sums stay under 2**53."""
-    top = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
-    kind = np.float64 if top < 2**53 else np.int64
-    bounds = np.linspace(0, rows.shape[1], SLICES + 1).astype(int)
-    return [(rows[:, a:b].astype(kind) @ queries[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of each column by score and then smaller id, as (k, columns) arrays."""
-    if scores.shape[0] > k:
-        order = np.argsort(ids, kind="stable")
-        scores, ids = scores[order], ids[order]
-        kth = np.partition(scores, scores.shape[0] - k, axis=0)[-k]
-        keep = scores > kth
-        short = k - keep.sum(axis=0)
-        tied = scores == kth
-        keep |= tied & (np.cumsum(tied, axis=0) <= short)
-        columns, rows = np.nonzero(keep.T)
-        picked = rows.reshape(scores.shape[1], k).T
-        return np.take_along_axis(scores, picked, 0), ids[picked]
-    return scores, np.repeat(ids[:, None], scores.shape[1], 1)
-
-
-def _merge(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    if a is None:
-        return b
-    scores, ids = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.lexsort((ids, -scores), axis=0)[:k]
-    return np.take_along_axis(scores, order, 0), np.take_along_axis(ids, order, 0)
+class Queries:
+    """A block of queries, cut into slices."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids = ids
+        energy = (vectors.astype(np.float64) ** 2).sum(0)
+        self.order = np.argsort(-energy, kind="stable")
+        self.vectors = np.ascontiguousarray(vectors[:, self.order])
+        self.bounds = np.linspace(0, vectors.shape[1], SLICES + 1).astype(int)
+        self.rest = self._rests(self.vectors)
+
+    def _rests(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Norms of what is open after each slice."""
+        squares = rows.astype(np.float64) ** 2
+        return [np.sqrt(squares[:, b:].sum(1)) for b in self.bounds[1:]]
+
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and queries in the order of the slices, as floats where all sums stay exact."""
+        rows = rows[:, self.order]
+        top = float(np.abs(rows).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, rows.shape[1])
+        kind = np.float64 if top < 2**53 else np.int64
+        return rows.astype(kind), self.vectors.astype(kind)
+
+    def part(self, rows: np.ndarray, own: np.ndarray, s: int, first: int | None = None) -> np.ndarray:
+        """Parts of all entries by slice ``s``, or by the slices from ``first`` to it."""
+        a, b = self.bounds[s if first is None else first], self.bounds[s + 1]
+        return rows[:, a:b] @ own[:, a:b].T
+
+    def pairs(self, rows: np.ndarray, own: np.ndarray, s: int, r: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Parts of single entries."""
+        a, b = self.bounds[s], self.bounds[s + 1]
+        step, out = max(1, (1 << 21) // max(1, b - a)), np.empty(len(r), rows.dtype)
+        for at in range(0, len(r), step):
+            k = slice(at, at + step)
+            out[k] = np.einsum("ij,ij->i", rows[r[k], a:b], own[q[k], a:b])
+        return out
+
+
+class Best:
+    """The k best entries of each query by score and then smaller id; entries equal in both count once."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.kth = k, np.full(n, _NONE)
+        self.q, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if len(q) == 0:
+            return
+        q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score.astype(np.int64)]), np.concatenate([self.id, ids])
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])
+        q, score, ids = q[new], score[new], ids[new]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        self.q, self.score, self.id = q[keep], score[keep], ids[keep]
+        last = rank[keep] == self.k - 1
+        self.kth[self.q[last]] = self.score[last]
+
+
+def heads(queries: Queries, ids: np.ndarray, rows: np.ndarray, best: Best, length: int = LIST) -> None:
+    """Phase 1: the rows that head the first slice's list, resolved in full."""
+    rows, own = queries.rows(rows)
+    first = queries.part(rows, own, 0)
+    n = min(length, len(ids))
+    r = np.argpartition(first.T, len(ids) - n, axis=1)[:, -n:].ravel()
+    q = np.repeat(np.arange(len(queries.ids)), n)
+    keep = ids[r] != queries.ids[q]
+    r, q = r[keep], q[keep]
+    total = first[r, q].astype(np.int64)
+    for s in range(1, SLICES):
+        total += queries.pairs(rows, own, s, r, q).astype(np.int64)
+    best.add(q, total, ids[r])
+
+
+def resolve(queries: Queries, ids: np.ndarray, rows: np.ndarray, cutoff: np.ndarray, best: Best) -> int:
+    """Phases 2 and 3: entries that can reach the cutoff, slice by slice; how many got all their slices."""
+    limit = np.maximum(cutoff, best.kth)
+    low = limit - (np.abs(limit) * 1e-12 + 1)  # bounds are floats
+    open_rows = queries._rests(rows[:, queries.order])
+    rows, own = queries.rows(rows)
+    # While the norms of the open slices alone reach the cutoff, a bound tells next to nothing; those slices go together.
+    told = [s for s in range(SLICES) if np.median(open_rows[s]) * np.median(queries.rest[s]) < np.median(limit)]
+    begin = min([*told, SLICES - 1])
+    total = queries.part(rows, own, begin, 0)
+
+    def reach(part: np.ndarray, s: int, r=slice(None), q=None) -> np.ndarray:
+        if q is None:
+            bound = open_rows[s][:, None] * queries.rest[s][None, :]
+            return part + bound * (1 + 1e-9) >= low[None, :]
+        return part + open_rows[s][r] * queries.rest[s][q] * (1 + 1e-9) >= low[q]
+
+    alive = reach(total, begin) & (ids[:, None] != queries.ids[None, :])
+    r = q = score = None
+    resolved = alive.size if begin == SLICES - 1 else 0
+    for s in range(begin + 1, SLICES):
+        if r is None and np.count_nonzero(alive) > SPARSE * alive.size:
+            resolved = alive.size
+            total += queries.part(rows, own, s)
+            alive &= reach(total, s)
+            continue
+        if r is None:
+            r, q = np.nonzero(alive)
+            score = total[r, q]
+        resolved = len(r)
+        score = score + queries.pairs(rows, own, s, r, q)
+        keep = reach(score, s, r, q)
+        r, q, score = r[keep], q[keep], score[keep]
+    if r is None:
+        r, q = np.nonzero(alive & (total >= limit[None, :]))
+        score = total[r, q]
+    keep = score >= limit[q]
+    best.add(q[keep], score[keep], ids[r[keep]])
+    return resolved
 
 
 def _rows(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,60 +184,30 @@ def _rows(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndar
             yield part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim)
 
 
-def _lists(shared, dim: int, k: int):
-    """Phase 1: the k best fully resolved sums among the rows that head some slice's list."""
+def _task(shared, dim: int, k: int, cutoff=None):
+    """A task's k best: of its heads, or with a cutoff of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries = shared.value["ids"], shared.value["v"]
-        best = None
+        queries = shared.value
+        best = Best(len(queries.ids), k)
         for ids, rows in _rows(batches, dim):
-            parts = _parts(rows, queries)
-            other = ids[:, None] != own[None, :]
-            head = np.zeros(other.shape, bool)
-            n = min(k + 1, len(ids))
-            for p in parts:
-                head[np.argpartition(p, len(ids) - n, axis=0)[-n:], np.arange(len(own))[None, :]] = True
-            total = np.where(head & other, sum(parts), _NONE)
-            best = _merge(best, _best(total, ids, k), k)
-        if best is not None:
-            scores, q = best[0], np.broadcast_to(np.arange(len(own)), best[0].shape)
-            keep = scores != _NONE
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep].astype(np.int32)), pa.array(scores[keep])], names=["q", "score"])
+            if cutoff is None:
+                heads(queries, ids, rows, best)
+            else:
+                resolve(queries, ids, rows, cutoff.value, best)
+        yield pa.RecordBatch.from_arrays([pa.array(best.q.astype(np.int32)), pa.array(queries.ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["q", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _resolve(shared, cutoff, dim: int, k: int):
-    """Phases 2 and 3: rows with a sufficient slice, resolved; the k best of the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries = shared.value["ids"], shared.value["v"]
-        floor = cutoff.value  # by query; `_NONE` where there is none
-        open_ended = floor == _NONE
-        share = np.where(open_ended, 0, floor)
-        best = None
-        for ids, rows in _rows(batches, dim):
-            parts = _parts(rows, queries)
-            enough = np.zeros(parts[0].shape, bool)
-            for p in parts:
-                enough |= p * SLICES >= share
-            total = sum(parts)
-            enough = (enough | open_ended) & (ids[:, None] != own[None, :]) & (total >= floor)
-            best = _merge(best, _best(np.where(enough, total, _NONE), ids, k), k)
-        if best is not None:
-            keep = best[0] != _NONE
-            query = np.broadcast_to(own, best[0].shape)
-            arrays = [query[keep], best[1][keep], best[0][keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], names=["query_id", "vec_id", "score"])
-
-    return run
+_ENTRIES = "q int, query_id long, vec_id long, score long"
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for frames as ``integers`` gives them."""
     spark = candidates.sparkSession
     schema = "query_id long, vec_id long, score long"
-    out = spark.createDataFrame([], schema)
+    folder, written = f"{shared_dir(spark).rstrip('/')}/topk-{uuid.uuid4().hex}", []
     for size in queries.groupBy("dim").count().collect():
         dim, blocks = size["dim"], -(-size["count"] // block)
         rows = candidates.filter(F.col("dim") == dim).select("vec_id", "v")
@@ -151,14 +217,18 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = B
                 continue
             ids = mine.column("vec_id").to_numpy()
             vectors = _matrix(mine.column("v").combine_chunks(), dim) if dim else np.zeros((len(ids), 0), np.int64)
-            shared = spark.sparkContext.broadcast({"ids": ids, "v": vectors})
-            lists = rows.mapInArrow(_lists(shared, dim, k), "q int, score long")
-            kth = lists.groupBy("q").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("kth"))
-            floor = np.full(len(ids), _NONE)
-            for r in kth.filter("kth is not null").collect():  # a number for each query of the block
-                floor[r["q"]] = r["kth"]
-            cutoff = spark.sparkContext.broadcast(floor)
-            out = out.unionByName(rows.mapInArrow(_resolve(shared, cutoff, dim, k), schema))
+            shared = spark.sparkContext.broadcast(Queries(ids, vectors))
+            lists = rows.mapInArrow(_task(shared, dim, k), _ENTRIES).select("q", "vec_id", "score").distinct()
+            place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+            cutoff = np.full(len(ids), _NONE)
+            for r in lists.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("place") == k).collect():  # a number for each query of the block
+                cutoff[r["q"]] = r["score"]
+            floor = spark.sparkContext.broadcast(cutoff)
+            written.append(f"{folder}/{dim}-{b}")
+            rows.mapInArrow(_task(shared, dim, k, floor), _ENTRIES).select("query_id", "vec_id", "score").write.parquet(written[-1])
+            floor.unpersist()
+            shared.unpersist()
+    out = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = out.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
