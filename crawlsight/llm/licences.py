@@ -7,7 +7,10 @@ are made sparse by an L1 penalty and are at most ``MAX_FEATURES``. One class is
 templates that stand alone or among words of the corpus, and a temperature
 fitted on rows kept back calibrates the probabilities; a family under
 ``THRESHOLD`` is unknown. A prediction is confirmed if the paragraph holds half
-of the n-grams of one of the family's templates.
+of the n-grams of one of the family's templates. Notices that are wrapped, in
+comments too, stand on several lines: each scored line is also scored together
+with the lines after it, ``LINES`` in all, and a family that is confirmed so, and
+by no single line of the text, is reported once, where it is first.
 
 The model trains in numpy on the templates, cut and noised, and on at most
 about ``SAMPLE_ROWS`` documents' paragraphs, taken by digest of their id. Every
@@ -36,6 +39,8 @@ from .common import doc_key, read_table
 
 SAMPLE_ROWS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 1_000, 4_000, 400
 MAX_FEATURES, THRESHOLD, OVERLAP = 512, 0.6, 0.5
+#: Lines over which a wrapped notice may go.
+LINES = 6
 UNKNOWN = "unknown"
 
 #: Usual notices by family (fixed values).
@@ -206,7 +211,7 @@ def _vector(values: tuple[float, ...]) -> Column:
 
 
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
-    """Add array<struct<paragraph, family, probability, overlap, confirmed>> of the paragraphs that aren't unknown. No shuffle, no Python."""
+    """Add array<struct<paragraph, lines, family, probability, overlap, confirmed>> of the paragraphs that aren't unknown, and of wrapped notices. No shuffle, no Python."""
     names, n, cues = list(model.features), len(model.families), model.cues()
     # Constants, folded once when the plan is made; their size is bounded by MAX_FEATURES and the templates.
     weights = F.from_json(F.lit(json.dumps(model.features)), "map<string,array<double>>")
@@ -227,7 +232,7 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         pairs = pairs_of(words, lambda a, b: F.when(a.isin(openers), F.concat_ws(" ", a, b)))
         hits = F.array_distinct(F.concat(F.filter(words, lambda g: g.isin(single)), F.filter(pairs, lambda g: g.isin(double))))
         raw = F.aggregate(hits, _vector(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        return F.struct(line["i"].alias("i"), words.alias("words"), raw.alias("z"))
+        return F.struct(line["i"].alias("i"), line["lines"].alias("lines"), words.alias("words"), raw.alias("z"))
 
     def decided(s: Column) -> Column:
         top = F.array_max(s["z"])
@@ -236,22 +241,35 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         inside = F.slice(s["z"], 1, n)
         best = F.array_position(inside, F.array_max(inside)).cast("int")
         probability = F.element_at(exps, best) / total
-        return F.struct(s["i"].alias("paragraph"), best.alias("best"), probability.alias("probability"), s["words"].alias("words"))
+        return F.struct(s["i"].alias("paragraph"), s["lines"].alias("lines"), best.alias("best"), probability.alias("probability"), s["words"].alias("words"))
 
     def compared(d: Column) -> Column:
         own = F.array_distinct(F.concat(d["words"], pairs_of(d["words"], lambda a, b: F.concat_ws(" ", a, b))))
         overlap = F.array_max(F.transform(F.element_at(templates, d["best"]), lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
         return F.struct(
-            d["paragraph"].alias("paragraph"), F.element_at(F.array(*[F.lit(f) for f in model.families]), d["best"]).alias("family"),
+            d["paragraph"].alias("paragraph"), d["lines"].alias("lines"), F.element_at(F.array(*[F.lit(f) for f in model.families]), d["best"]).alias("family"),
             d["probability"].alias("probability"), overlap.alias("overlap"), (overlap >= OVERLAP).alias("confirmed"),
         )
 
-    lines = F.transform(F.split(F.col(text), "\n"), lambda p, i: F.struct(words_of(p).alias("words"), i.alias("i")))
+    def told(paragraphs: Column) -> Column:
+        return F.transform(F.filter(F.transform(F.transform(paragraphs, scored), decided), lambda d: d["probability"] >= THRESHOLD), compared)
+
+    split, gated, alone, wrapped, sure = (f"__licence_{x}" for x in ("words", "lines", "alone", "wrapped", "sure"))
+    lines = F.transform(split, lambda words, i: F.struct(words.alias("words"), i.alias("i"), F.lit(1).alias("lines")))
     if cues is not None:
         lines = F.filter(lines, lambda s: F.exists(s["words"], lambda w: w.isin(list(cues))))
-    found = F.transform(F.filter(F.transform(F.transform(lines, scored), decided), lambda d: d["probability"] >= THRESHOLD), compared)
-    nothing = F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
-    return df.withColumn(out, F.when(F.col(text).isNotNull(), found).otherwise(nothing))
+    joined = F.transform(
+        F.filter(gated, lambda s: s["i"] + 1 < F.size(split)),
+        lambda s: F.struct(F.flatten(F.slice(F.col(split), s["i"] + 1, F.lit(LINES))).alias("words"), s["i"].alias("i"), F.least(F.lit(LINES), F.size(split) - s["i"]).alias("lines")),
+    )
+    by_line = F.array_distinct(F.transform(F.filter(alone, lambda d: d["confirmed"]), lambda d: d["family"]))
+    families = F.array(*[F.lit(f) for f in model.families])
+    first = F.transform(F.array_except(families, by_line), lambda f: F.get(F.filter(sure, lambda d: d["family"] == f), F.lit(0)))
+    nothing = F.array().cast("array<struct<paragraph:int,lines:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
+    found = df.withColumn(split, F.transform(F.split(F.col(text), "\n"), words_of)).withColumn(gated, lines)
+    found = found.withColumn(alone, told(F.col(gated))).withColumn(wrapped, told(joined)).withColumn(sure, F.filter(wrapped, lambda d: d["confirmed"]))
+    either = F.concat(alone, F.array_sort(F.filter(first, lambda d: d.isNotNull())))
+    return found.withColumn(out, F.when(F.col(text).isNotNull(), either).otherwise(nothing)).drop(split, gated, alone, wrapped, sure)
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
