@@ -30,12 +30,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is unset."""
+    """The folder of ``spark.checkpoint.dir``, below the application's id. Where that is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='crawlsight-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete this application's tables, once nothing that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

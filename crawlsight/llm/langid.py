@@ -7,21 +7,29 @@ the margin against a codeword's bit, weighted by how reliable the bit's
 classifier is on a calibration sample; the codeword of least loss names the
 language, and a small lead over the next one marks the document as ambiguous.
 
-Training counts come from at most about ``TRAIN_ROWS`` labelled rows and the
-calibration from about ``TUNE_ROWS`` of them, taken by digest of their id; only
-sums by language and n-gram bucket and the margins of the calibration rows
-reach the driver.
+Training and calibration take at most about ``TRAIN_ROWS`` labelled rows by digest
+of their id; about ``TUNE_ROWS`` of them are kept back for the calibration. Only
+sums by language and n-gram bucket and the margins of the calibration rows reach
+the driver.
+
+A prediction is rejected if it is ambiguous and its score is so low that, by
+rank among the scores of the calibration rows, less than a share of ``REJECT`` of
+texts like those would score as low (a conformal test: with fewer than
+1 / ``REJECT`` calibration rows nothing can be that rare, and nothing is rejected).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with
 no labelled row every text is; with one language, texts with letters get it;
 very long texts are read whole, in one piece; ties in loss go to the language
-first in order; rows repeated are predicted alike; other columns stay.
+first in order; rows repeated are predicted alike and count once in training,
+and a labelled id on most of the rows doesn't swell the sample; an empty table
+gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +44,8 @@ ORDERS, BITS = (1, 3, 4), 15
 BUCKETS = 1 << BITS
 #: A lead in probability under which a prediction is ambiguous.
 LEAD = 0.2
+#: The share of texts like the labelled ones that may be rejected.
+REJECT = 1 / 1000
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -106,6 +116,7 @@ class Model:
     weights: np.ndarray  # BUCKETS x bits
     bit_weights: np.ndarray
     slope: float
+    floor: float | None = None  # the score under which ambiguous predictions are rejected
 
     def margins(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Summed log odds by bit over the root of the number of n-grams."""
@@ -151,16 +162,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, tune_rows: int = TUNE_ROW
     total = labelled.count()
     if total == 0:
         return None
-    draw = F.pmod(F.xxhash64(F.col("_key")), F.lit(1_000_000))
-
-    def sample(rows: int) -> Column:
-        return draw < max(1, round(1_000_000 * min(1.0, rows / total)))
-
-    chosen = cut_lineage(labelled.withColumn("_key", doc_key(F.col("doc_id"))).filter(sample(train_rows)).select("text", "lang", "_key"), "lang-sample")
+    chosen = cut_lineage(_sample(labelled.select(doc_key(F.col("doc_id")).alias("_key"), "text", "lang"), train_rows, total), "lang-sample")
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
-    if not languages:
-        return None
-    summed = chosen.select("text", "lang").mapInArrow(_counts_worker(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    back = F.pmod(F.xxhash64(F.concat("_key", F.lit("#tune"))), F.lit(1_000_000)) < round(1_000_000 * tune_rows / train_rows)
+    summed = chosen.filter(~back).select("text", "lang").mapInArrow(_counts_worker(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
     counts = counts.reshape(len(languages), BUCKETS)
@@ -174,7 +179,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, tune_rows: int = TUNE_ROW
     weights[~seen] = 0
     model = Model(tuple(languages), code, weights.astype(np.float32), np.ones(code.shape[1]), 1.0)
 
-    tune = chosen.filter(sample(tune_rows)).select("text", "lang").mapInArrow(_margins_worker(model), "lang string, m array<double>").toArrow()
+    tune = chosen.filter(back).select("text", "lang").mapInArrow(_margins_worker(model), "lang string, m array<double>").toArrow()
     if tune.num_rows == 0 or len(languages) == 1:
         return model
     y = np.array([languages.index(x) for x in tune.column("lang").to_pylist()])
@@ -187,7 +192,24 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, tune_rows: int = TUNE_ROW
         nll = -np.log(trial.probabilities(m)[np.arange(len(y)), y] + 1e-9).mean()
         if best is None or nll < best[0]:
             best = (nll, trial)
-    return best[1]
+    scores = np.sort(best[1].probabilities(m).max(1))
+    place = math.ceil(REJECT * (len(scores) + 1)) - 1
+    return replace(best[1], floor=float(scores[place - 1])) if place >= 1 else best[1]
+
+
+def _sample(rows: DataFrame, most: int, total: int) -> DataFrame:
+    """About ``most`` of the ``total`` rows by digest of their key, equal rows once; where one key has more, by digest of the whole row."""
+    def share(digest: Column, n: int) -> Column:
+        return F.pmod(digest, F.lit(1_000_000)) < max(1, round(1_000_000 * min(1.0, most / max(1, n))))
+
+    found = rows.filter(share(F.xxhash64("_key"), total)).distinct()
+    n = found.count()
+    if 0 < n <= 2 * most:
+        return found
+    whole = F.xxhash64("_key", "lang", "text")
+    if n:
+        return found.filter(share(whole, n))
+    return rows.orderBy(F.xxhash64("_key"), "_key", whole).limit(most)
 
 
 def _margins_worker(model: Model):
@@ -200,14 +222,15 @@ def _margins_worker(model: Model):
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``ambiguous``. No shuffle."""
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    """Add ``lang_pred``, ``score``, ``ambiguous`` and ``rejected`` (for ``und``, too). No shuffle."""
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("rejected", T.BooleanType())]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     names = [f.name for f in kept]
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        floor = -1.0 if own is None or own.floor is None else own.floor
         for batch in slices(batches, text, 1 << 20):
             raw, offsets = utf8_view(batch.column(text))
             known = has_letter(raw, offsets, fold(raw)) & (own is not None)
@@ -219,7 +242,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 name[known] = np.array(own.languages, object)[first[known]]
                 score[known] = p.max(1)[known]
                 ambiguous[known] = lead[known] < LEAD
-            arrays = [*[batch.column(n) for n in names], pa.array(name, pa.string()), pa.array(score), pa.array(ambiguous)]
+            arrays = [*[batch.column(n) for n in names], pa.array(name, pa.string()), pa.array(score), pa.array(ambiguous), pa.array(~known | (ambiguous & (score < floor)))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *[a.name for a in added]])
 
     return in_batches(df).select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, T.StructType([*kept, *added]))
