@@ -9,10 +9,11 @@ first sure boundary after it, and taken in place of the ids there unless they
 agree. Where a chunk holds no sure boundary, the window grows over the next
 chunks until one does.
 
-A sure boundary is a space after a printable ASCII character other than a
-space: the pattern that splits a text before merging (letters, digits, other
-characters, each with one leading space at most; white space) always starts a
-piece there, whatever stands around it. Chunks never cut a special token.
+A sure boundary is ASCII white space after a character that is none, or a
+fullwidth comma or full stop after an ideograph: the pattern that splits a text
+before merging (letters, digits, other characters, each with one leading space at
+most; white space) always starts a piece there, whatever stands around it. Chunks
+never cut a special token.
 
 Defined cases: a null text is encoded as an empty one, with no ids; texts may be
 of any length; repeated rows give repeated results; other columns stay.
@@ -126,10 +127,24 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, bits: int = CUT_BITS) -> np.ndarr
     return at[at - start >= WINDOW]
 
 
+#: Bytes after which white space begins a piece: printable ASCII, and those beyond ASCII that end no white space.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_SOLID[0x80:0xC0] = True
+_SOLID[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+_GAP = np.zeros(256, bool)
+_GAP[[0x09, 0x0A, 0x0D, 0x20]] = True
+
+
 def _sync(raw: bytes) -> tuple[int, int]:
     """The first and the last sure boundary in a chunk, or -1."""
     b = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero((b[1:] == 0x20) & (b[:-1] > 0x20) & (b[:-1] < 0x7F)) + 1
+    sure = _GAP[b[1:]] & _SOLID[b[:-1]]
+    if len(b) > 5:  # U+5000 to U+8FFF before U+3001, U+3002 or U+FF0C
+        ideograph = (b[:-5] >= 0xE5) & (b[:-5] <= 0xE8)
+        stop = (b[3:-2] == 0xE3) & (b[4:-1] == 0x80) & ((b[5:] == 0x81) | (b[5:] == 0x82)) | (b[3:-2] == 0xEF) & (b[4:-1] == 0xBC) & (b[5:] == 0x8C)
+        sure[2:-2] |= ideograph & stop
+    at = np.flatnonzero(sure) + 1
     return (int(at[0]), int(at[-1])) if len(at) else (-1, -1)
 
 
@@ -141,7 +156,7 @@ class ChunkEncoder:
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
         self.joins: dict[bytes, np.ndarray] = {}
-        self.held = 0
+        self.held = self.held_joins = 0
         self.stats = {"chunks": 0, "encoded": 0, "joins": 0, "repaired": 0}
 
     def _chunk(self, raw: bytes) -> tuple:
@@ -166,9 +181,12 @@ class ChunkEncoder:
     def _join(self, raw: bytes) -> np.ndarray:
         found = self.joins.get(raw)
         if found is None:
-            if len(self.joins) >= 5_000:
+            found = self.codec.encode(raw)
+            self.held_joins += len(raw) + found.nbytes
+            if self.held_joins > self.cache_bytes // 4:
                 self.joins.clear()
-            found = self.joins[raw] = self.codec.encode(raw)
+                self.held_joins = len(raw) + found.nbytes
+            self.joins[raw] = found
         return found
 
     def encode(self, raw: bytes, at: list[int]) -> np.ndarray:
