@@ -10,8 +10,8 @@ calibrates the probability.
 Tokens are runs of letters, of digits and of other characters, so markup stands
 apart from the words that it is glued to; rare tokens share buckets by hash.
 
-At most ``TRAIN_ROWS`` labelled ids are used, and ``VECTOR_ROWS`` of them for
-word vectors, taken by digest.
+At most ``TRAIN_ROWS`` labelled ids are used (of ids with several rows, twice as
+many rows at most), and ``VECTOR_ROWS`` of them for word vectors, taken by digest.
 
 Defined cases: null and empty texts pool to zeros and get the score of that; a
 document labelled more than once counts by its mean label; without labels of

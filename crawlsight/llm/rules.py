@@ -226,7 +226,7 @@ def base_failed() -> Column:
 
 
 def fit(measured: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[tuple[Condition, ...]]:
-    """Learn from at most ``train_rows`` labelled ids (the first by digest) that have a row in ``measured``."""
+    """Learn from at most ``train_rows`` labelled ids (the first by digest) that have a row in ``measured``; of ids with several rows, ``2 * train_rows`` rows at most."""
     ids = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
     sample = ids.orderBy(F.md5(doc_key(F.col("doc_id"))), "doc_id").limit(train_rows)
     names = list(features())

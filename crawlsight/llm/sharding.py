@@ -8,7 +8,8 @@ about its share of them.
 Defined cases: a null id draws as the text ``null``; a null text has size 1 and
 the checksum of no bytes, 0; rows with one id and one text are alike and get
 slots that follow each other; an empty table gives an empty result; other
-columns are left alone by ``assign`` and ignored by the query.
+columns are left alone by ``assign``, which replaces columns of the two names that
+it is told to write, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return bids[0]["shard"] if len(bids) == 1 else F.array_min(F.array(*bids))["shard"]
 
 
-def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
+def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, shard: str = "shard", grown_shard: str = "grown_shard") -> DataFrame:
     """Add ``shard`` and, for a longer list of weights, ``grown_shard``. No shuffle."""
-    out = df.withColumn("shard", rendezvous(doc_key(F.col(key)), weights))
-    return out if grown is None else out.withColumn("grown_shard", rendezvous(doc_key(F.col(key)), grown))
+    of = doc_key(F.col(f"`{key}`"))
+    added = {shard: rendezvous(of, weights)} | ({} if grown is None else {grown_shard: rendezvous(of, grown)})
+    return df.withColumns(added)
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
