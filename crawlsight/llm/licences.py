@@ -8,15 +8,18 @@ templates that stand alone or among words of the corpus, and a temperature
 fitted on rows kept back calibrates the probabilities; a family under
 ``THRESHOLD`` is unknown. A prediction is confirmed if the paragraph holds half
 of the n-grams of one of the family's templates. Notices that are wrapped, in
-comments too, stand on several lines: each scored line is also scored together
+comments too, stand on several lines. One begins with a line whose n-grams could
+give some family ``HEAD`` of what it needs and that has a word which templates
+can't be confirmed without (``needed``); each such line is also scored together
 with the lines after it, ``LINES`` in all, and a family that is confirmed so, and
 by no single line of the text, is reported once, where it is first.
 
 The model trains in numpy on the templates, cut and noised, and on at most
 about ``SAMPLE_ROWS`` documents' paragraphs, taken by digest of their id. Every
 paragraph that can reach ``THRESHOLD`` is scored: the weights alone give words
-(cues) without any of which no family can come that far before unknown, and only
-paragraphs with none of them aren't scored.
+(cues) without any of which no family can come that far before unknown, and a
+bound on what each n-gram adds for any family; only paragraphs that one of the two
+rules out aren't scored in full.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none;
 ties between families go to the first in name; rows repeated are scanned alike;
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -39,8 +43,15 @@ from .common import doc_key, read_table
 
 SAMPLE_ROWS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 1_000, 4_000, 400
 MAX_FEATURES, THRESHOLD, OVERLAP = 512, 0.6, 0.5
+#: Words that any prose has; which words stand here changes no result.
+PLAIN = (
+    "a", "about", "all", "an", "and", "any", "at", "be", "by", "can", "either", "for", "found", "free", "from", "if", "in", "into", "is", "it", "later", "may", "not", "of", "on", "one", "or", "person",
+    "possible", "public", "that", "the", "this", "to", "under", "use", "was", "with", "without", "work", "you",
+)
 #: Lines over which a wrapped notice may go.
 LINES = 6
+#: The share of a family's needs that a notice's first line could give.
+HEAD = 0.5
 UNKNOWN = "unknown"
 
 #: Usual notices by family (fixed values).
@@ -96,6 +107,22 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
 
 
+def needed(text: str) -> set[str]:
+    """Words of a template of which every paragraph that confirms it has one.
+
+    A paragraph with u of its different words has at most u words and, as each
+    pair of neighbours counts at both, half the pairs that the u busiest words
+    take part in. The least u that can reach ``OVERLAP`` leaves u - 1 words out:
+    those that any prose has, then the shortest ones.
+    """
+    own = grams(text)
+    words, pairs = [g for g in own if " " not in g], [g.split(" ") for g in own if " " in g]
+    busy = Counter(w for p in pairs for w in p)
+    most = sorted((busy[w] for w in words), reverse=True)
+    u = next(u for u in range(1, len(words) + 1) if u + min(len(pairs), sum(most[:u]) // 2) >= OVERLAP * len(own))
+    return set(sorted(words, key=lambda w: (w not in PLAIN, len(w), w))[u - 1 :])
+
+
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]  # in order; unknown comes last in the scores
@@ -103,14 +130,24 @@ class Model:
     intercepts: tuple[float, ...]
     temperature: float
 
+    def _margins(self) -> dict[str, np.ndarray]:
+        return {g: np.array(w[:-1]) - w[-1] for g, w in self.features.items()}
+
+    def _spare(self) -> np.ndarray:
+        """What a family has to gain on unknown for ``THRESHOLD``."""
+        return self.temperature * np.log(THRESHOLD / (1 - THRESHOLD)) + self.intercepts[-1] - np.array(self.intercepts[:-1]) - 1e-6
+
+    def most(self) -> tuple[dict[str, float], float]:
+        """The most that each feature adds to any family against unknown, and what a paragraph's features have to add up to before any family can have ``THRESHOLD``."""
+        return {g: max(0.0, float(m.max())) for g, m in self._margins().items()}, float(self._spare().min())
+
     def cues(self) -> tuple[str, ...] | None:
         """Words of which a paragraph holds one if any family can have ``THRESHOLD``; None if a paragraph without any word can.
 
         A family with that probability has log odds against unknown of at least the logit of ``THRESHOLD``. Words are left out,
         the shortest first, while all that the features told by them can add stays under that for every family.
         """
-        margins = {g: np.array(w[:-1]) - w[-1] for g, w in self.features.items()}
-        spare = self.temperature * np.log(THRESHOLD / (1 - THRESHOLD)) + self.intercepts[-1] - np.array(self.intercepts[:-1]) - 1e-6
+        margins, spare = self._margins(), self._spare()
         if spare.min() <= 0:
             return None
         adds: dict[str, np.ndarray] = {}
@@ -210,11 +247,20 @@ def _vector(values: tuple[float, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _table(values: dict[str, object], kind: str) -> Callable[[Column], Column]:
+    """Look-up of constants by key: maps are searched from end to end, so keys are dealt over small ones by checksum."""
+    parts: list[dict[str, object]] = [{} for _ in range(max(1, len(values)))]
+    for key, value in values.items():
+        parts[zlib.crc32(key.encode()) % len(parts)][key] = value
+    dealt = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,{kind}>>")
+    return lambda key: F.element_at(F.get(dealt, F.pmod(F.crc32(key), F.lit(len(parts))).cast("int")), key)
+
+
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
     """Add array<struct<paragraph, lines, family, probability, overlap, confirmed>> of the paragraphs that aren't unknown, and of wrapped notices. No shuffle, no Python."""
     names, n, cues = list(model.features), len(model.families), model.cues()
     # Constants, folded once when the plan is made; their size is bounded by MAX_FEATURES and the templates.
-    weights = F.from_json(F.lit(json.dumps(model.features)), "map<string,array<double>>")
+    weights = _table(model.features, "array<double>")
     templates = F.from_json(F.lit(json.dumps([[grams(t) for t in TEMPLATES[f]] for f in model.families])), "array<array<array<string>>>")
 
     single, double = [g for g in names if " " not in g], [g for g in names if " " in g]
@@ -227,12 +273,21 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
         return F.zip_with(F.slice(words, 1, n_pairs), F.slice(words, 2, n_pairs), pair)
 
-    def scored(line: Column) -> Column:
+    most, bar = model.most()
+    bounds = _table(most, "double")
+
+    def met(line: Column) -> Column:
         words = line["words"]
         pairs = pairs_of(words, lambda a, b: F.when(a.isin(openers), F.concat_ws(" ", a, b)))
         hits = F.array_distinct(F.concat(F.filter(words, lambda g: g.isin(single)), F.filter(pairs, lambda g: g.isin(double))))
-        raw = F.aggregate(hits, _vector(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        return F.struct(line["i"].alias("i"), line["lines"].alias("lines"), words.alias("words"), raw.alias("z"))
+        return F.struct(line["i"].alias("i"), line["lines"].alias("lines"), words.alias("words"), hits.alias("hits"))
+
+    def possible(line: Column, share: float = 1.0) -> Column:
+        return F.aggregate(line["hits"], F.lit(0.0), lambda acc, g: acc + bounds(g)) >= (bar * share if bar > 0 else bar)
+
+    def scored(line: Column) -> Column:
+        raw = F.aggregate(line["hits"], _vector(model.intercepts), lambda acc, g: F.zip_with(acc, weights(g), lambda a, b: a + b))
+        return F.struct(line["i"].alias("i"), line["lines"].alias("lines"), line["words"].alias("words"), raw.alias("z"))
 
     def decided(s: Column) -> Column:
         top = F.array_max(s["z"])
@@ -252,22 +307,23 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         )
 
     def told(paragraphs: Column) -> Column:
-        return F.transform(F.filter(F.transform(F.transform(paragraphs, scored), decided), lambda d: d["probability"] >= THRESHOLD), compared)
+        return F.transform(F.filter(F.transform(F.transform(F.filter(paragraphs, lambda s: possible(s)), scored), decided), lambda d: d["probability"] >= THRESHOLD), compared)
 
     split, gated, alone, wrapped, sure = (f"__licence_{x}" for x in ("words", "lines", "alone", "wrapped", "sure"))
     lines = F.transform(split, lambda words, i: F.struct(words.alias("words"), i.alias("i"), F.lit(1).alias("lines")))
     if cues is not None:
         lines = F.filter(lines, lambda s: F.exists(s["words"], lambda w: w.isin(list(cues))))
+    heads = sorted({w for ts in TEMPLATES.values() for t in ts for w in needed(t)})
     joined = F.transform(
-        F.filter(gated, lambda s: s["i"] + 1 < F.size(split)),
+        F.filter(gated, lambda s: (s["i"] + 1 < F.size(split)) & possible(s, HEAD) & F.exists(s["words"], lambda w: w.isin(heads))),
         lambda s: F.struct(F.flatten(F.slice(F.col(split), s["i"] + 1, F.lit(LINES))).alias("words"), s["i"].alias("i"), F.least(F.lit(LINES), F.size(split) - s["i"]).alias("lines")),
     )
     by_line = F.array_distinct(F.transform(F.filter(alone, lambda d: d["confirmed"]), lambda d: d["family"]))
     families = F.array(*[F.lit(f) for f in model.families])
     first = F.transform(F.array_except(families, by_line), lambda f: F.get(F.filter(sure, lambda d: d["family"] == f), F.lit(0)))
     nothing = F.array().cast("array<struct<paragraph:int,lines:int,family:string,probability:double,overlap:double,confirmed:boolean>>")
-    found = df.withColumn(split, F.transform(F.split(F.col(text), "\n"), words_of)).withColumn(gated, lines)
-    found = found.withColumn(alone, told(F.col(gated))).withColumn(wrapped, told(joined)).withColumn(sure, F.filter(wrapped, lambda d: d["confirmed"]))
+    found = df.withColumn(split, F.transform(F.split(F.col(text), "\n"), words_of)).withColumn(gated, F.transform(lines, met))
+    found = found.withColumn(alone, told(F.col(gated))).withColumn(wrapped, told(F.transform(joined, met))).withColumn(sure, F.filter(wrapped, lambda d: d["confirmed"]))
     either = F.concat(alone, F.array_sort(F.filter(first, lambda d: d.isNotNull())))
     return found.withColumn(out, F.when(F.col(text).isNotNull(), either).otherwise(nothing)).drop(split, gated, alone, wrapped, sure)
 

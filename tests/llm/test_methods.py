@@ -230,6 +230,18 @@ def test_lines_are_scored_as_plain_python_scores_them(spark):
         assert got == _brute(model, r["text"])
 
 
+def test_what_confirms_a_template_has_a_word_that_it_needs():
+    rng = np.random.default_rng(9)
+    for t in [t for ts in licences.TEMPLATES.values() for t in ts]:
+        words, own, need = licences._TOKEN.findall(t.lower()), set(licences.grams(t)), licences.needed(t)
+        assert need
+        for _ in range(200):
+            a = int(rng.integers(0, len(words)))
+            part = words[a : a + int(rng.integers(1, len(words) + 1))] if rng.random() < 0.5 else [w for w in words if rng.random() < 0.6]
+            if len(own & set(licences.grams(" ".join(part)))) >= licences.OVERLAP * len(own):
+                assert need & set(part)
+
+
 PROSE = "some prose before goes on\nabout nothing at all in many words here"
 
 
