@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import blank, clean
-from .url import normalized, parts
+from .url import bound, form
 
 #: Directives that are known by name (fixed values).
 KNOWN = "all|index|noindex|follow|nofollow|none|nosnippet|noarchive|noimageindex|notranslate|indexifembedded|max[-_]snippet|max[-_]image[-_]preview|max[-_]video[-_]preview|unavailable[-_]after"
@@ -50,15 +50,20 @@ def expired(date: Column, as_of: Column) -> Column:
 def summary(status: Column, robots: Column, header: Column, canonical: Column, final_url: Column, as_of: Column) -> Column:
     """struct<indexable, status, canonicalTarget, selfReferencing>; the first reason that holds."""
     meta, head = directives(robots), directives(header)
-    target = F.when(clean(canonical) == "", "").otherwise(normalized(parts(clean(canonical), final_url), "compare", F.lit("")))
-    own = normalized(parts(final_url), "compare", F.lit(""))
-    self_ref = (target == "") | (target == own)
-    state = (
-        F.when(status >= 400, "http_error").when(head["noindex"], "noindex_x_robots_tag").when(meta["noindex"], "noindex_meta_robots")
-        .when(expired(head["unavailable_after"], as_of), "unavailable_after_x_robots_tag").when(expired(meta["unavailable_after"], as_of), "unavailable_after_meta_robots")
-        .when(~self_ref, "canonicalized").otherwise("indexable")
-    )
-    return F.struct((state == "indexable").alias("indexable"), state.alias("status"), target.alias("canonicalTarget"), (target == own).alias("selfReferencing"))
+    target = F.when(clean(canonical) == "", "").otherwise(form(clean(canonical), "compare", F.lit(""), final_url))
+    keys = F.struct(target.alias("target"), form(final_url, "compare", F.lit("")).alias("own"))
+
+    def state(k: Column) -> Column:
+        return (
+            F.when(status >= 400, "http_error").when(head["noindex"], "noindex_x_robots_tag").when(meta["noindex"], "noindex_meta_robots")
+            .when(expired(head["unavailable_after"], as_of), "unavailable_after_x_robots_tag").when(expired(meta["unavailable_after"], as_of), "unavailable_after_meta_robots")
+            .when((k["target"] != "") & (k["target"] != k["own"]), "canonicalized").otherwise("indexable")
+        )
+
+    def told(k: Column) -> Column:
+        return bound(state(k), lambda s: F.struct((s == "indexable").alias("indexable"), s.alias("status"), k["target"].alias("canonicalTarget"), (k["target"] == k["own"]).alias("selfReferencing")))
+
+    return bound(keys, told)
 
 
 def noindex_source(robots: Column, header: Column, canonical_differs: Column) -> Column:

@@ -72,10 +72,8 @@ def without_brand(title: Column, brands: Iterable[str] = ()) -> Column:
 
 
 #: Words of an offer that say nothing of what is offered, and colours (fixed values).
-INTENT_STOP = tuple(
-    "a about all an and are at best buy clearance discount for from in just lowest men mens of off offer offers on online pack price prices rs sale shop shopping the to under with".split()
-)
-COLOURS = tuple("beige black blue brown dark gray green grey light maroon multi multicolor navy olive orange pink purple red white yellow".split())
+INTENT_STOP = ("a", "about", "all", "an", "and", "are", "at", "best", "buy", "clearance", "discount", "for", "from", "in", "just", "lowest", "men", "mens", "of", "off", "offer", "offers", "on", "online", "pack", "price", "prices", "rs", "sale", "shop", "shopping", "the", "to", "under", "with")
+COLOURS = ("beige", "black", "blue", "brown", "dark", "gray", "green", "grey", "light", "maroon", "multi", "multicolor", "navy", "olive", "orange", "pink", "purple", "red", "white", "yellow")
 VARIANT_COLOURS = (*COLOURS, "charcoal", "navyblue", "olivegreen")
 SINGULAR = {
     "cargos": "cargo", "hoodies": "hoodie", "jackets": "jacket", "joggers": "jogger", "pants": "pant", "polos": "polo",

@@ -1,8 +1,9 @@
-"""URLs: one Arrow UDF takes them apart as browsers do, everything else is a native expression on the parts."""
+"""URLs: plain addresses are taken apart natively, any others by one Arrow UDF as browsers do; everything else is a native expression on the parts."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -89,10 +90,22 @@ def url_parts(url: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=PARTS.names)
 
 
+#: Absolute addresses in which nothing has to be folded, escaped or resolved.
+_PLAIN = r"^https?://[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z][a-z0-9-]*[a-z0-9])+(?:/[A-Za-z0-9_~!$&()*+,;=:@-][A-Za-z0-9._~!$&()*+,;=:@-]*)*/?(?:\?[A-Za-z0-9._~!$&()*+,;=:@/-]+)?$"
+
+
 def parts(url: Column | str, base: Column | str | None = None) -> Column:
+    """The parts of a URL; plain absolute ones, nearly all of a crawl, don't reach Python."""
     column = F.col(url) if isinstance(url, str) else url
     other = F.lit(None).cast("string") if base is None else F.col(base) if isinstance(base, str) else base
-    return url_parts(column, other)
+    plain = F.coalesce(column.rlike(_PLAIN), F.lit(False))
+    origin, path = F.regexp_extract(column, "^(https?://[^/?]+)", 1), F.regexp_extract(column, "^https?://[^/?]+([^?]*)", 1)
+    path, query = F.when(path == "", "/").otherwise(path), F.regexp_extract(column, r"(\?.*)$", 1)
+    own = F.struct(
+        F.concat(origin, path, query).alias("href"), origin.alias("origin"), F.regexp_extract(column, "^(https?):", 1).alias("scheme"), F.regexp_extract(column, "^https?://([^/?]+)", 1).alias("host"),
+        path.alias("path"), query.alias("query"), F.lit(True).alias("valid"),
+    )
+    return F.when(plain, own).otherwise(url_parts(F.when(~plain, column), other))
 
 
 def without_slash(path: Column) -> Column:
@@ -128,6 +141,16 @@ def normalized(p: Column, mode: str, invalid: Column | None = None) -> Column:
     return F.when(p["valid"], out).otherwise(invalid if invalid is not None else F.lit(None).cast("string"))
 
 
+def form(url: Column | str, mode: str, invalid: Column | None = None, base: Column | str | None = None) -> Column:
+    """``normalized`` straight from a URL; its parts are bound once, however often a form asks for them."""
+    return bound(parts(url, base), lambda p: normalized(p, mode, invalid))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 

@@ -208,6 +208,12 @@ def keep_html(raw: DataFrame) -> DataFrame:
     return raw.filter(F.contains(F.lower(tx.blank(F.col("contentType"))), F.lit("text/html")) | tx.trimmed(tx.blank(F.col("html"))).startswith("<"))
 
 
+def with_redirect(raw: DataFrame) -> DataFrame:
+    """Derive ``redirected`` from the URL that was asked for and the one that answered, in the form that pages are compared in."""
+    asked, got = (u.form(c, "page_query", F.col(c)) for c in ("url", "finalUrl"))
+    return raw.withColumn("redirected", ~asked.eqNullSafe(got))
+
+
 def resolve(df: DataFrame, key: list[str], items: str, raw: str, base: str) -> DataFrame:
     """``items`` exploded with their place and the parts of their URL, each different pair of URL and base taken apart once a batch."""
     rows = df.select(*key, F.col(base).alias("_base"), F.posexplode(items).alias("pos", "item"))

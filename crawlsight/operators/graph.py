@@ -43,8 +43,26 @@ def degrees(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     return node_rows.join(into, "id", "left").join(out, "id", "left").fillna({"inbound_count": 0, "outbound_count": 0})
 
 
+def inbound_rows(edge_rows: DataFrame) -> DataFrame:
+    """``(url, source)``: all sources of all nodes, as rows; a node that every page links to would not fit an array."""
+    return edge_rows.select(F.col("dst").alias("url"), F.col("src").alias("source"))
+
+
+def typed_edges(edge_rows: DataFrame) -> DataFrame:
+    """``(source, target, source_type, target_type)``, in order of source and target."""
+    return edge_rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), u.node_type(path_of("src")).alias("source_type"), u.node_type(path_of("dst")).alias("target_type")).orderBy("source", "target")
+
+
+def filtered(edge_rows: DataFrame, node_rows: DataFrame, types: tuple[str, ...] = (), text: str = "") -> tuple[DataFrame, DataFrame]:
+    """The part of a graph with nodes of some types (all, if none is named) whose URL holds ``text``, and the edges between them."""
+    kept = node_rows.filter((F.col("type").isin(*types) if types else F.lit(True)) & F.contains(F.lower("id"), F.lit(text.lower())))
+    ids = kept.select("id")
+    inside = edge_rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return inside, kept
+
+
 def inbound_sample(edge_rows: DataFrame, most: int = 100) -> DataFrame:
-    """Sorted sources of each node, the first ``most``; a node that every page links to would not fit a row."""
+    """Sorted sources of each node, the first ``most``, for a row's display; ``inbound_rows`` has them all."""
     ranked = edge_rows.withColumn("_r", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).filter(F.col("_r") <= most)
     return ranked.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("inbound_sources"))
 
@@ -54,6 +72,7 @@ def hubs(degree_rows: DataFrame) -> DataFrame:
 
     The threshold comes from counts by degree, a table far smaller than the nodes.
     """
+    degree_rows = saved(degree_rows, "degrees")
     total = degree_rows.count()
     place = max(1, -(-total // 10))
     by_degree = degree_rows.groupBy("outbound_count").agg(F.count(F.lit(1)).alias("n"))
@@ -90,11 +109,11 @@ def seo_pagerank(edge_rows: DataFrame, node_rows: DataFrame, **how) -> DataFrame
     return node_rows.select("id").join(pagerank(inside, useful, **how), "id", "left").fillna({"score": 0.0})
 
 
-def depths(edge_rows: DataFrame, node_rows: DataFrame, most: int = 1000) -> DataFrame:
-    """``(id, depth)`` from the home pages by breadth; null where none leads. One join a level, frontier against unseen nodes."""
+def depths(edge_rows: DataFrame, node_rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``(id, depth)`` from the home pages by breadth, as deep as they lead unless ``most`` levels are asked for; null where none leads. One join a level, frontier against unseen nodes."""
     seen = saved(node_rows.filter("type = 'home'").select("id", F.lit(0).alias("depth")), "depth")
     frontier, level = seen, 0
-    while level < most:
+    while most is None or level < most:
         level += 1
         reached = frontier.select(F.col("id").alias("src")).join(edge_rows, "src").select(F.col("dst").alias("id")).distinct()
         frontier = saved(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)), "depth")

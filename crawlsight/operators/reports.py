@@ -34,9 +34,9 @@ def top_codes(issues: DataFrame, n: int = 12) -> DataFrame:
     return issue_counts(issues).orderBy(F.desc("n"), "code").limit(n)
 
 
-def site_profile(pages: DataFrame, issues: DataFrame) -> DataFrame:
+def site_profile(pages: DataFrame, issues: DataFrame, target: str = "", crawled_at: str = "") -> DataFrame:
     """One row: pages, pages by type, platform, apps and issues by code, maps in JSON-ready form."""
-    one = pages.agg(F.count(F.lit(1)).alias("totalPages"), F.coalesce(F.bool_or("shopify.isShopify"), F.lit(False)).alias("isShopify"))
+    one = pages.agg(F.lit(target).alias("targetUrl"), F.lit(crawled_at).alias("crawledAt"), F.count(F.lit(1)).alias("totalPages"), F.coalesce(F.bool_or("shopify.isShopify"), F.lit(False)).alias("isShopify"))
     apps = pages.select(F.explode("shopify.detectedApps").alias("a")).agg(F.array_sort(F.collect_set("a")).alias("detectedApps"))
 
     def as_map(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -46,26 +46,56 @@ def site_profile(pages: DataFrame, issues: DataFrame) -> DataFrame:
     return one.join(apps).join(as_map(pages, "pageType", "pageTypes")).join(as_map(issues, "code", "commonIssues"))  # one row on either side
 
 
-def redirect_report(pages: DataFrame) -> DataFrame:
+def redirect_report(pages: DataFrame, *more: str) -> DataFrame:
     state = F.when(~F.col("redirected"), "no_redirect").when(F.col("redirectCount") > 1, "redirect_chain").otherwise("single_redirect")
     advice = F.when(state == "no_redirect", "None.").when(state == "redirect_chain", "Redirect in one step.").otherwise("Link to the final URL.")
-    return pages.select("url", "finalUrl", "pageType", "status", "redirected", "redirectCount", state.alias("redirectStatus"), advice.alias("recommendation"))
+    return pages.select("url", "finalUrl", "pageType", "status", "redirected", "redirectCount", state.alias("redirectStatus"), advice.alias("recommendation"), *more)
 
 
-def indexability_report(pages: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
-    listed = sitemap_urls.select(u.normalized(u.parts("url"), "compare", F.col("url")).alias("compare_key"), F.lit(True).alias("_in")).distinct()
+def issue_codes(issues: DataFrame) -> DataFrame:
+    """``(url, issueCodes)``: the different codes of each page, sorted and joined; the catalogue of codes bounds a row."""
+    return issues.groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("code")), "|").alias("issueCodes"))
+
+
+def redirect_table(pages: DataFrame, page_issues: DataFrame) -> DataFrame:
+    """The redirect report with what was asked for, the canonical URL and the page's codes."""
+    rows = redirect_report(pages.withColumn("canonical", tx.blank(F.col("meta.canonical"))), "canonical").withColumnRenamed("url", "requestedUrl").withColumn("url", F.col("finalUrl"))
+    out = rows.join(issue_codes(page_issues), "url", "left").fillna({"issueCodes": ""})
+    return out.select("url", "requestedUrl", "finalUrl", "status", "pageType", "redirected", "redirectCount", "redirectStatus", "canonical", "issueCodes", "recommendation")
+
+
+def indexability_table(pages: DataFrame, sitemap_urls: DataFrame, page_issues: DataFrame) -> DataFrame:
+    """The indexability report with alternates and the page's codes."""
+    rows = indexability_report(pages, sitemap_urls, True).join(issue_codes(page_issues), "url", "left").fillna({"issueCodes": ""})
+    return rows.select(
+        "url", "status", "pageType", "indexable", "indexabilityStatus", "inSitemap", "canonical", "canonicalTarget", F.col("selfReferencing").alias("canonicalSelfReferencing"), F.col("metaRobots").alias("robots"),
+        tx.blank(F.col("xRobotsTag")).alias("xRobotsTag"), "alternateCount", "hreflangValues", "issueCodes",
+    )
+
+
+def indexability_report(pages: DataFrame, sitemap_urls: DataFrame, alternates: bool = False) -> DataFrame:
+    listed = sitemap_urls.select(u.form("url", "compare", F.col("url")).alias("compare_key"), F.lit(True).alias("_in")).distinct()
+    named = F.filter("meta.alternates", lambda a: tx.blank(a["hreflang"]) != "")
+    more = [F.size("meta.alternates").alias("alternateCount"), F.array_join(F.transform(named, lambda a: a["hreflang"]), "|").alias("hreflangValues")] if alternates else []
     return pages.join(listed, "compare_key", "left").select(
+        *more,
         F.col("finalUrl").alias("url"), "pageType", "status", F.col("indexability.indexable").alias("indexable"), F.col("indexability.status").alias("indexabilityStatus"), F.col("meta.robots").alias("metaRobots"),
         F.col("xRobotsTag"), F.col("meta.canonical").alias("canonical"), F.col("indexability.canonicalTarget").alias("canonicalTarget"), F.col("indexability.selfReferencing").alias("selfReferencing"), F.coalesce("_in", F.lit(False)).alias("inSitemap"),
     )
 
 
+def _values(column: str) -> Column:
+    """The different values of a small vocabulary that aren't blank, sorted and joined."""
+    return F.array_join(F.array_sort(F.collect_set(F.when(tx.blank(F.col(column)) != "", F.col(column)))), "|")
+
+
 def image_inventory(usages: DataFrame, samples: int = 10) -> DataFrame:
     """A row for each (image, alternative text). Pages are listed up to ``samples``, counted in full."""
     key = ["imageUrl", "alt"]
     counted = usages.groupBy(*key).agg(
         F.count(F.lit(1)).alias("usedCount"), F.count_distinct("pageUrl").alias("pagesUsed"), F.array_join(F.array_sort(F.collect_set("pageType")), "|").alias("pageTypes"),
         F.count_if(F.coalesce("lazy", F.lit(False))).alias("lazyCount"), F.count_if(~F.coalesce("lazy", F.lit(False))).alias("eagerCount"),
+        *[_values(c).alias(f"{n}Values") for c, n in (("width", "width"), ("height", "height"), ("fetchPriority", "fetchPriority"))],
     )
     first = usages.select(*key, "pageUrl").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("pageUrl"))).filter(F.col("_r") <= samples)
     listed = first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("pageUrl")), "|").alias("samplePages"))
@@ -164,6 +194,49 @@ def crawl_stats(pages: DataFrame, issues: DataFrame, graph: DataFrame, unreachab
     return p.join(load_times(pages)).join(i).join(network(graph)).join(b)
 
 
+def crawl_table(pages: DataFrame, issues: DataFrame, graph: DataFrame, unreachable: DataFrame, attempts: DataFrame, probes: DataFrame, skipped: int = 0, generated_at: str = "") -> DataFrame:
+    """All run figures as one flat row. ``attempts`` is the fetch log, ``probes`` the probe's row for each collection."""
+    def discovered(*sources: str) -> Column:
+        return F.count_if(F.col("discoverySource").isin(*sources) & (F.col("pageType") == "product"))
+
+    p = pages.agg(
+        discovered("api_seed", "api_probe").alias("api_seeded_products"), F.count_if(F.col("discoverySource").isin("api_seed", "api_probe") & (F.col("pageType") == "collection")).alias("api_seeded_collections"),
+        discovered("pagination_probe").alias("probe_discovered_products"), discovered("sitemap_unlisted").alias("sitemap_only_products"),
+    )
+
+    def as_json(rows: DataFrame, key: str, name: str) -> DataFrame:
+        counted = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return counted.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))).alias(name))
+
+    again = attempts.filter("attempt > 0")
+    a = attempts.agg(F.count(F.lit(1)).alias("totalRequested"))
+    r = again.agg(F.count(F.lit(1)).alias("totalRetries"), F.count_if(F.col("status").isNotNull()).alias("statusRetries"), F.count_if(F.col("status").isNull()).alias("errorRetries"))
+    q = probes.agg(
+        F.count(F.lit(1)).alias("probe_collections_attempted"), F.count_if(F.col("stop_reason") == "zero_new_products").alias("probe_collections_exhausted"),
+        F.count_if(F.col("stop_reason").isin("empty_response", "failed_status", "both_tiers_failed", "parse_or_fetch_error")).alias("probe_collections_failed"), F.coalesce(F.sum("pages_probed"), F.lit(0)).alias("probe_total_pages_fetched"),
+    )
+    buckets = as_json(unreachable, "bucket", "unreachable_product_buckets")
+    best = graph.agg(F.max(F.struct("seo_pagerank_score")).alias("s"), F.min_by("url", F.struct(-F.col("pagerank_score"), F.col("url"))).alias("top_pagerank_url"))
+    stats = crawl_stats(pages, issues, graph, unreachable)
+    one = stats.join(p).join(a).join(r).join(q).join(buckets).join(best).join(as_json(pages, "status", "exactStatusCounts")).join(as_json(again, "status", "retryStatusCounts"))  # one row each
+    return one.select(
+        F.lit(generated_at).alias("generatedAt"), "totalRequested", F.col("pages").alias("totalCrawled"), *[F.col(f"status_{s}").alias(f"status{s.capitalize() if s == 'other' else s}") for s in ("2xx", "3xx", "4xx", "5xx", "other")], "exactStatusCounts",
+        F.col("fetch_failures").alias("fetchFailedCount"), F.lit(skipped).cast("long").alias("skippedNonHtmlCount"), "api_seeded_products", "api_seeded_collections", "probe_discovered_products", "probe_collections_attempted",
+        "probe_collections_exhausted", "probe_collections_failed", "probe_total_pages_fetched", "sitemap_only_products", F.col("orphaned_collections").alias("orphaned_collection_count"), "unreachable_product_buckets",
+        F.col("redirected_pages").alias("redirectedCount"), "totalRetries", "statusRetries", "errorRetries", "retryStatusCounts", F.col("avg").alias("avgLoadTimeMs"), F.col("p50").alias("p50LoadTimeMs"), F.col("p95").alias("p95LoadTimeMs"), F.col("max").alias("maxLoadTimeMs"),
+        F.col("nodes").alias("total_nodes"), F.col("edges").alias("total_edges"), F.col("orphans").alias("orphan_count"), F.col("sinks").alias("sink_count"), F.col("hubs").alias("hub_count"), F.col("average_inbound").alias("avg_inbound_links"),
+        F.col("most_linked").alias("max_inbound_url"), F.col("average_depth").alias("avg_depth_from_home"), "top_pagerank_url", F.col("highest_seo_rank").alias("top_seo_pagerank_url"), F.coalesce("s.seo_pagerank_score", F.lit(0.0)).alias("top_seo_pagerank_score"),
+    )
+
+
+def dashboard(issues: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: pages, issues, issues by severity, and the most frequent codes in order."""
+    one = pages.agg(F.count(F.lit(1)).alias("pageRows")).join(issues.agg(F.count(F.lit(1)).alias("issueCount")))
+    by = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severityCounts"))
+    top = top_codes(issues).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["code"].alias("code"), (-x["n"]).alias("n"))).alias("topIssueCodes"))
+    return one.join(by).join(top)  # one row each
+
+
 def unreachable_products(pages: DataFrame, issues: DataFrame, graph: DataFrame, memberships: DataFrame) -> DataFrame:
     """Products without an HTML link to them, in buckets by whether a collection that holds them was crawled."""
     hidden = issues.filter("code = 'no_html_inbound_link'").groupBy("url").agg(F.min("reachable_via").alias("reachable_via"))
@@ -171,12 +244,12 @@ def unreachable_products(pages: DataFrame, issues: DataFrame, graph: DataFrame,
     rows = rows.filter(u.segment_after(F.col("p.path"), "products").isNotNull()).withColumn("product_handle", u.segment_after(F.col("p.path"), "products"))
     crawled = pages.filter(F.col("_p.path").rlike("^/collections/[^/]+/?$") & (F.col("status") < 400)).select(u.segment_after(F.col("_p.path"), "collections").alias("collection_handle")).distinct()
     held = memberships.distinct().join(crawled.withColumn("_c", F.lit(True)), "collection_handle", "left").groupBy("product_handle").agg(
-        F.array_join(F.array_sort(F.collect_set("collection_handle")), "|").alias("collections"), F.coalesce(F.bool_or("_c"), F.lit(False)).alias("crawled")
+        F.array_join(F.array_sort(F.collect_set("collection_handle")), "|").alias("collections"), F.count_distinct("collection_handle").alias("held_by"), F.coalesce(F.bool_or("_c"), F.lit(False)).alias("crawled")
     )
     ranked = graph.select(F.col("url").alias("graph_key"), "inbound_count", "pagerank_score")
     out = rows.withColumn("graph_key", F.col("p.graph_key")).join(held, "product_handle", "left").join(ranked, "graph_key", "left")
     bucket = F.when(F.col("collections").isNull(), "A_no_collection").when(F.col("crawled"), "B_collection_crawled_not_linked").otherwise("C_collection_not_crawled")
-    return out.select("url", "product_handle", F.col("p.status").alias("status"), F.col("p.discoverySource").alias("source"), "reachable_via", F.coalesce("inbound_count", F.lit(0)).alias("inbound_count"), F.coalesce("pagerank_score", F.lit(0.0)).alias("pagerank_score"), F.coalesce("collections", F.lit("no_collection")).alias("in_collections"), bucket.alias("bucket"))
+    return out.select("url", "product_handle", F.col("p.status").alias("status"), F.col("p.discoverySource").alias("source"), "reachable_via", F.coalesce("inbound_count", F.lit(0)).alias("inbound_count"), F.coalesce("pagerank_score", F.lit(0.0)).alias("pagerank_score"), F.coalesce("collections", F.lit("no_collection")).alias("in_collections"), F.coalesce("crawled", F.lit(False)).alias("collection_crawled"), F.coalesce("held_by", F.lit(0)).alias("collections_count"), bucket.alias("bucket"))
 
 
 def bucket_counts(unreachable: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from ..functions import url as u
 from .registry import Family, Rule, issue
 from .registry import run as run_families
 
-COMMERCE = tuple("buy shop online men mens women kids tshirt tshirts shirt shirts pants track jogger joggers shorts vest combo pack hoodie jacket collection sale".split())
+#: Word lists and patterns of the rules (fixed values).
+COMMERCE = ("buy", "shop", "online", "men", "mens", "women", "kids", "tshirt", "tshirts", "shirt", "shirts", "pants", "track", "jogger", "joggers", "shorts", "vest", "combo", "pack", "hoodie", "jacket", "collection", "sale")
 GENERIC_TITLE = (r"^home$", r"^products?$", r"^collections?$", r"^catalog$", r"^untitled$")
 BOILERPLATE = ("welcome to our store", "powered by shopify", "shopify store", "best online shopping", "buy now online", "fastest delivery", "free shipping", "cash on delivery")
 DETAIL = ("fabric", "cotton", "fit", "size", "combo", "pack", "price", "color", "colour", "delivery")
@@ -130,7 +132,7 @@ def social() -> Family:
     c = "metadata"
     title, og, tw = _m("title"), _m("ogTitle"), _m("twitterTitle")
     target = F.when(F.col("indexability.canonicalTarget") != "", F.col("indexability.canonicalTarget")).otherwise(u.normalized(F.col("_p"), "compare", F.lit("")))
-    own = u.normalized(u.parts(F.col("meta.ogUrl"), F.col("finalUrl")), "compare", F.lit(""))
+    own = u.form(F.col("meta.ogUrl"), "compare", F.lit(""), F.col("finalUrl"))
     return Family(
         "social",
         (
@@ -190,6 +192,17 @@ def metadata() -> Family:
     )
 
 
+def metadata_summary() -> Column:
+    """Six facts of a page's metadata in one struct; pages are prepared."""
+    full = reduce(lambda a, b: a & b, [_m(n) != "" for n in ("ogTitle", "ogDescription", "ogImage", "ogPriceAmount", "ogPriceCurrency", "ogAvailability")])
+    viewport = _m("viewport")
+    return F.struct(
+        (rb.directives(F.col("meta.robots"))["noindex"] | rb.directives(F.col("xRobotsTag"))["noindex"]).alias("hasNoIndex"), (canonical_reason() == "valid").alias("isCanonicalValid"),
+        (((F.col("pageType") == "product") | F.contains(F.lower(_m("ogType")), F.lit("product"))) & full).alias("hasOpenGraphProductData"), tx.price_mismatch(F.col("meta.ogPriceAmount"), F.col("textSample")).alias("ogPriceMismatch"),
+        ((tx.trimmed(viewport) == "") | viewport.rlike(r"(?i)\buser-scalable\s*=\s*no\b")).alias("hasViewportIssue"), F.size(F.filter("meta.alternates", lambda a: tx.blank(a["hreflang"]) != "")).alias("hreflangCount"),
+    )
+
+
 def indexability() -> Family:
     c, rules = "indexability", []
     for name, value in (("x_robots_tag", F.col("xRobotsTag")), ("meta_robots", F.col("meta.robots"))):
@@ -395,7 +408,7 @@ def link_quality() -> Family:
 
 
 def families(settings: Settings = Settings()) -> list[Family]:
-    """The fourteen families that concern pages that answered."""
+    """The families that concern pages that answered."""
     return [basic(), serp(settings), social(), metadata(), indexability(), hreflang(), speed(), images(), product(), collection(settings), blog(), facets(settings), link_quality()]
 
 

@@ -6,6 +6,8 @@ the nested columns that a rule reads. Keys are normalised URLs, added by ``keyed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions import robots as rb
 from ..functions import text as tx
 from ..functions import url as u
 from ..schema import ISSUE_COLUMNS
-from .lineage import saved
+from .lineage import numbered, saved
 from .registry import issue
 from .rules import not_in_html, reachable_via
 
@@ -81,7 +83,7 @@ def link_rows(pages: DataFrame, key: str = "compare") -> DataFrame:
     """``(finalUrl, pageType, src, href, dst)`` of internal links; ``dst`` is the link's URL in the form that ``key`` names."""
     own = {"compare": "compare_key", "graph": "graph_key"}[key]
     rows = pages.select("finalUrl", "pageType", "status", "crawl_seq", F.col(own).alias("src"), F.explode("links").alias("link")).filter("link.internal")
-    return rows.select("finalUrl", "pageType", "status", "crawl_seq", "src", F.col("link.href").alias("href"), u.normalized(u.parts(F.col("link.href")), key, F.col("link.href")).alias("dst"))
+    return rows.select("finalUrl", "pageType", "status", "crawl_seq", "src", F.col("link.href").alias("href"), u.form(F.col("link.href"), key, F.col("link.href")).alias("dst"))
 
 
 def links_to_redirects(pages: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def links_to_redirects(pages: DataFrame) -> DataFrame:
 
 def hreflang_dead(pages: DataFrame) -> DataFrame:
     rows = pages.select("finalUrl", "pageType", F.explode("meta.alternates").alias("a")).filter("a.href <> ''")
-    rows = rows.withColumn("compare_key", u.normalized(u.parts(F.col("a.href"), F.col("finalUrl")), "compare"))
+    rows = rows.withColumn("compare_key", u.form(F.col("a.href"), "compare", base=F.col("finalUrl")))
     dead = pages.groupBy("compare_key").agg(F.max_by("status", "crawl_seq").alias("_status")).filter("_status >= 400")
     return _columns(_issues(rows.join(dead, "compare_key"), (None, issue("hreflang_dead_url", "high", "metadata", F.concat_ws(" ", "a.hreflang", "a.href"), F.col("_status"), length=240))))
 
@@ -146,7 +148,7 @@ def orphaned_collections(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def sitemap(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Pages against the sitemap's URLs (``url``); without any, there is nothing to compare. Pages carry ``indexability``."""
-    listed = urls.select(u.normalized(u.parts("url"), "compare", F.col("url")).alias("compare_key")).distinct()
+    listed = urls.select(u.form("url", "compare", F.col("url")).alias("compare_key")).distinct()
     if listed.isEmpty():
         return pages.sparkSession.createDataFrame([], "url string, pageType string, severity string, category string, code string, message string, recommendation string, evidence string, metric bigint")
     c, state = "indexability", F.col("indexability")
@@ -167,6 +169,17 @@ def sitemap(pages: DataFrame, urls: DataFrame) -> DataFrame:
     return _columns(made).dropDuplicates(["url", "code", "evidence"])
 
 
+def issues(pages: DataFrame, edges: DataFrame, sitemap_urls: DataFrame | None = None) -> DataFrame:
+    """All rules that need the whole page table, in one table with the columns that some of them add; ``sitemap_urls`` where a sitemap was read."""
+    found = [
+        duplicates(pages), cannibalization_issues(cannibalization_groups(pages)), canonical_origin(pages), redirects(pages), links_to_redirects(pages), hreflang_dead(pages),
+        broken_collections(pages, edges), internal_links(pages), orphaned_collections(pages, edges),
+    ]
+    if sitemap_urls is not None:
+        found.append(sitemap(pages, sitemap_urls))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
 def with_indexability(pages: DataFrame, as_of: str = "2026-01-01 00:00:00") -> DataFrame:
     return pages.withColumn("indexability", rb.summary(F.col("status"), F.col("meta.robots"), F.col("xRobotsTag"), F.col("meta.canonical"), F.col("finalUrl"), F.lit(as_of).cast("timestamp")))
 
@@ -211,27 +224,37 @@ def cannibalization_members(pages: DataFrame) -> DataFrame:
     return rows.join(sizes, ["signal", "value"])
 
 
-def cannibalization_groups(pages: DataFrame, sample: int = 50) -> DataFrame:
-    """One row for each set of competing pages, whatever signals it has.
-
-    Groups are told by the number, the sum and the xor of their members' hashes, so no list of members is gathered;
-    ``competing`` holds the ``sample`` smallest URLs besides the primary one.
-    """
-    rows = cannibalization_members(pages).withColumn("h", F.xxhash64("finalUrl", "crawl_seq"))
-    rank = F.row_number().over(Window.partitionBy("signal", "value").orderBy("finalUrl", "crawl_seq"))
-    small = F.when(rank <= sample + 1, F.col("finalUrl"))
-    by_value = rows.withColumn("listed", small).groupBy("signal", "value").agg(
+def _grouped(pages: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Members with the number, the sum and the xor of their group's hashes, by which groups with the same pages are told; and what is known of each group."""
+    rows = saved(cannibalization_members(pages).withColumn("h", F.xxhash64("finalUrl", "crawl_seq")), "competing")
+    by_value = rows.groupBy("signal", "value").agg(
         F.count(F.lit(1)).alias("size"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"), F.min("finalUrl").alias("first_url"),
         F.array_sort(F.collect_set("pageType")).alias("page_types"), F.max_by(F.struct("finalUrl", "inbound"), F.struct("score", -F.col("crawl_seq"))).alias("primary"),
-        F.min_by("intent", F.struct(F.col("intent") == "", "crawl_seq")).alias("intent_key"), F.array_sort(F.collect_set("listed")).alias("listed"),
+        F.min_by("intent", F.struct(F.col("intent") == "", "crawl_seq")).alias("intent_key"),
         F.avg(F.when(F.size("variant.attributes") > 0, 1.0).otherwise(0.0)).alias("variant_share"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("variant.signals")))).alias("variant_signals"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("variant.attributes")))).alias("variant_attributes"),
     )
-    merged = by_value.groupBy("size", "s", "x").agg(
+    by_value = saved(by_value, "competing-values")
+    # A rank with a bound: every task cuts its rows to the first ones of a group before the shuffle.
+    place = F.row_number().over(Window.partitionBy("signal", "value").orderBy("finalUrl", "crawl_seq"))
+    first = rows.select("signal", "value", "finalUrl", "crawl_seq").withColumn("_r", place).filter(F.col("_r") <= sample + 1)
+    listed = first.groupBy("signal", "value").agg(F.array_sort(F.collect_set("finalUrl")).alias("listed"))
+    merged = by_value.join(listed, ["signal", "value"]).groupBy("size", "s", "x").agg(
         F.array_sort(F.collect_set("signal")).alias("signals"), *[F.min(c).alias(c) for c in ("first_url", "page_types", "primary", "intent_key", "listed", "variant_share", "variant_signals", "variant_attributes")],
         F.max(F.when(F.col("signal") == "duplicate_title", F.col("value"))).alias("shared_title"), F.max(F.when(F.col("signal") == "duplicate_meta_description", F.col("value"))).alias("shared_description"),
         F.max(F.when(F.col("signal") == "duplicate_content", F.col("value"))).alias("shared_hash"),
     )
+    return rows.join(by_value.select("signal", "value", "size", "s", "x"), ["signal", "value"]), merged
+
+
+def cannibalization_groups(pages: DataFrame, sample: int = 50) -> DataFrame:
+    """One row for each set of competing pages, whatever signals it has; ``competing`` lists the ``sample`` smallest URLs besides the primary one."""
+    return cannibalization_tables(pages, sample)[0]
+
+
+def cannibalization_tables(pages: DataFrame, sample: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The groups, and ``(group_id, url)`` for all of their pages."""
+    members, merged = _grouped(pages, sample)
     exact = F.arrays_overlap("signals", F.array(*[F.lit(s) for s, _ in EXACT]))
     has = lambda s: F.array_contains("signals", s)
     is_variant = (F.size("page_types") == 1) & (F.get("page_types", 0) == "product") & (F.col("variant_share") >= 0.55) & (F.size("variant_signals") > 0)
@@ -247,15 +270,19 @@ def cannibalization_groups(pages: DataFrame, sample: int = 50) -> DataFrame:
     named = merged.withColumn("classification", classification).withColumn("confidence", confidence).withColumn("code", name)
     severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in GROUP_SEVERITY.items() for v in kv]), F.col("code")), F.lit("medium"))
     order = F.array_position(F.array(*[F.lit(c) for c in PRIORITY]), F.col("code"))
-    number = F.row_number().over(Window.orderBy(order, F.desc("size"), "intent_key", "first_url", "s"))
+    named = numbered(named, [order, F.desc("size"), F.col("intent_key"), F.col("first_url"), F.col("s")], "groups", "_number")
     none = F.array().cast("array<string>")
-    return named.select(
-        F.concat(F.lit("CAN-"), F.lpad(number.cast("string"), 4, "0")).alias("group_id"), severity.alias("severity"), "code", "classification", "confidence", "signals", "page_types", "size", "intent_key",
+    groups = named.select(
+        "s", "x",
+        F.concat(F.lit("CAN-"), F.lpad(F.col("_number").cast("string"), F.greatest(F.lit(4), F.length(F.col("_number").cast("string"))), F.lit("0"))).alias("group_id"), severity.alias("severity"), "code", "classification", "confidence", "signals", "page_types", "size", "intent_key",
         F.col("primary.finalUrl").alias("primary_url"), F.col("primary.inbound").alias("primary_inbound"),
         F.slice(F.array_remove("listed", F.col("primary.finalUrl")), 1, sample).alias("competing"), F.when(is_variant, F.col("variant_signals")).otherwise(none).alias("variant_signals"),
         F.when(is_variant, F.slice("variant_attributes", 1, 40)).otherwise(none).alias("variant_attributes"), tx.blank(F.col("shared_title")).alias("shared_title"),
         tx.blank(F.col("shared_description")).alias("shared_description"), tx.blank(F.col("shared_hash")).alias("shared_hash"),
     )
+    groups = saved(groups, "groups")
+    membership = members.select("size", "s", "x", "finalUrl").distinct().join(groups.select("group_id", "size", "s", "x"), ["size", "s", "x"])
+    return groups.drop("s", "x"), membership.select("group_id", F.col("finalUrl").alias("url"))
 
 
 def cannibalization_issues(groups: DataFrame) -> DataFrame:

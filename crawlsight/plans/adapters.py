@@ -46,8 +46,11 @@ FROM (
 """
 
 #: Links as (src, dst, raw): collections to products, some products back, the home page to collections, every collection to the cart, some to moved pages.
+#: Some products are linked by the cart or by another product only.
 LINKS = f"""
-SELECT DISTINCT '{HOST}/collections/supplier-' || CAST(l_suppkey AS STRING) AS src, '{HOST}/products/item-' || CAST(l_partkey AS STRING) AS dst, '/products/item-' || CAST(l_partkey AS STRING) AS raw FROM lineitem WHERE l_linenumber <= 2
+SELECT DISTINCT '{HOST}/collections/supplier-' || CAST(l_suppkey AS STRING) AS src, CASE WHEN l_partkey % 40 IN (11, 12, 13) THEN '{HOST}/cart' ELSE '{HOST}/products/item-' || CAST(l_partkey AS STRING) END AS dst,
+  CASE WHEN l_partkey % 40 IN (11, 12, 13) THEN '/cart' ELSE '/products/item-' || CAST(l_partkey AS STRING) END AS raw FROM lineitem
+UNION ALL SELECT '{HOST}/products/item-' || CAST(p_partkey + 1 AS STRING), '{HOST}/products/item-' || CAST(p_partkey AS STRING), '/products/item-' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 40 = 12
 UNION ALL SELECT '{HOST}/products/item-' || CAST(p_partkey AS STRING), '{HOST}/collections/supplier-' || CAST(1 + p_partkey % 7 AS STRING), '/collections/back' FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT '{HOST}/', '{HOST}/collections/supplier-' || CAST(s_suppkey AS STRING), '/collections/home' FROM supplier WHERE s_suppkey % 10 = 0
 UNION ALL SELECT '{HOST}/collections/supplier-' || CAST(s_suppkey AS STRING), '{HOST}/cart', CASE WHEN s_suppkey % 4 = 0 THEN '/cart?sort_by=price' ELSE ' {HOST}/cart' END FROM supplier
@@ -79,8 +82,8 @@ SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 3
 FROM events
 """
 
-#: Probe pages: a supplier's parts in blocks.
-PROBES = "SELECT 'supplier-' || CAST(l_suppkey AS STRING) AS collection, CAST(1 + l_orderkey % 30 AS INT) AS page_no, 'item-' || CAST(l_partkey AS STRING) AS product_handle FROM lineitem WHERE l_linenumber = 3"
+#: Probe pages: a supplier's parts in blocks; some are listed by the handle of a variant.
+PROBES = "SELECT 'supplier-' || CAST(l_suppkey AS STRING) AS collection, CAST(1 + l_orderkey % 30 AS INT) AS page_no, CASE WHEN l_partkey % 80 = 11 THEN 'variant-' ELSE 'item-' END || CAST(l_partkey AS STRING) AS product_handle FROM lineitem"
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -11,6 +11,7 @@ from ..functions import robots as rb
 from ..functions import text as tx
 from ..functions import url as u
 from ..operators import extract, graph, registry, reports, rules, site
+from ..operators.lineage import saved
 from ..sources import recorded
 from .adapters import FETCHES, GRAPH, HOST, LINKS, PROBES, SITEMAP, STORE, USAGES, flat, rank_sql, store, usages
 
@@ -74,7 +75,15 @@ def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_visible_text")
+_BARE = "html"
+for _tag in ("script", "style", "noscript", "svg", "template"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}[\\s>].*?</{_tag}>', '', 'g')"
+_BARE = f"replace(replace(regexp_replace(regexp_replace({_BARE}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·')"
+_VISIBLE = _decode(f"trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))")
+
+
+@query("page_visible_text", f"""
+SELECT url, CAST(len(regexp_extract_all(t, '\\S+')) AS INTEGER) AS "wordCount", sha1(lower(t)) AS "textHash", CAST(least(length(t), 6000) AS INTEGER) AS sampled FROM (SELECT url, {_VISIBLE} AS t FROM pages)""")
 def page_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("url", "wordCount", "textHash", F.length("textSample").alias("sampled"))
 
@@ -114,7 +123,16 @@ def url_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", u.normalized(F.col("p"), "page").alias("page"), u.normalized(F.col("p"), "sitemap").alias("sitemap"), F.col("p.origin").alias("origin"))
 
 
-@query("url_modes")
+_ORIGIN, _PATH = "lower(regexp_extract(url, '^(https?://[^/?#]+)', 1))", "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_QUERY, _TRIM = "regexp_extract(url, '^[^#?]*(\\?[^#]+)', 1)", "CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END"
+_KEPT = "list_sort(list_filter(string_split(substr(q, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_.*|fbclid|gclid|gbraid|wbraid|msclkid|ttclid|_gl)(=|$)')))"
+_UNFACETED = "list_filter(string_split(substr(q, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:" + "|".join(f.replace(".", "[.]") for f in u.FACETS) + ")'))"
+
+
+@query("url_modes", f"""
+WITH b AS (SELECT url, {_ORIGIN} AS o, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p, {_QUERY} AS q FROM pages), t AS (SELECT *, {_TRIM} AS s FROM b)
+SELECT url, o || s || q AS graph, o || s AS compare, o || s || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END AS tracking, {' OR '.join(f"contains(lower(q), '{f}')" for f in u.FACETS)} AS faceted,
+  o || p || CASE WHEN len({_UNFACETED}) > 0 THEN '?' || array_to_string({_UNFACETED}, '&') ELSE '' END AS without_facets, regexp_replace(regexp_extract(regexp_replace(p, '/+$', ''), '([^/]*)$', 1), '[-_]+', ' ', 'g') AS handle FROM t""")
 def url_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").withColumn("p", u.parts("url"))
     return rows.select("url", *[u.normalized(F.col("p"), m).alias(m) for m in ("graph", "compare", "tracking")], u.is_faceted(F.col("p.query")).alias("faceted"), u.strip_facets(F.col("p")).alias("without_facets"), u.handle_text(F.col("p.path")).alias("handle"))
@@ -290,7 +308,21 @@ def image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(~F.col("code").isin("product_image_alt_missing_product_name", "shopify_variant_auto_alt_duplicate")).select("url", "code", "severity", "metric")
 
 
-@query("product_image_rules")
+def _named(x: str) -> str:
+    return f"list_filter({_mw(x)}, lambda w: w NOT IN ('the', 'and', 'for', 'with', 'men', 'mens'))"
+
+
+_PRODUCT_IMAGES = f"""
+WITH {_SX}, im AS (SELECT page_url AS url, alt, regexp_matches(lower(image_url), '/products/|/cdn/shop/files/|/cdn/shop/products/') AS own FROM ({USAGES}) AS us),
+pw AS (SELECT final_url AS url, {_named("CASE WHEN h1 <> '' THEN h1 ELSE title END")} AS nw FROM sx WHERE status < 400 AND page_type = 'product'),
+un AS (SELECT im.url, count(*) AS n FROM im JOIN pw ON pw.url = im.url WHERE own AND alt <> '' AND len(nw) > 0 AND NOT list_has_any({_named('alt')}, nw) GROUP BY im.url),
+ra AS (SELECT im.url, {_n('alt')} AS a, count(*) AS n, count(*) FILTER (WHERE own) AS o FROM im WHERE alt <> '' GROUP BY im.url, {_n('alt')} HAVING count(*) > 1),
+fb AS (SELECT DISTINCT ra.url FROM ra JOIN pw ON pw.url = ra.url WHERE a <> '' AND o >= 3 AND len(nw) >= 2 AND len(list_distinct({_named('a')})) >= 2 AND len(list_filter(nw, lambda v: list_contains({_named('a')}, v))) / greatest(len(nw), 1) >= 0.7)
+SELECT url, 'product_image_alt_missing_product_name' AS code, 'recommended' AS severity, CAST(n AS BIGINT) AS metric FROM un UNION ALL SELECT url, 'shopify_variant_auto_alt_duplicate', 'recommended', NULL FROM fb
+"""
+
+
+@query("product_image_rules", _PRODUCT_IMAGES)
 def product_image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store(spark, sf_dir, links=False, images=True).filter("status < 400")
     found = registry.compile_family(pages, rules.images())
@@ -393,8 +425,8 @@ def internal_link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages = store(spark, sf_dir)
-    edges = graph.edges(pages)
-    return pages, edges, graph.nodes(edges, pages)
+    edges = saved(graph.edges(pages), "edges")
+    return pages, edges, saved(graph.nodes(edges, pages), "nodes")
 
 
 @query("broken_collection_links", f"WITH {GRAPH} SELECT st.final_url AS url, CAST(count(ge.src) AS BIGINT) AS metric, coalesce(string_agg(ge.src, '|' ORDER BY ge.src), '') AS inbound_sources FROM st LEFT JOIN ge ON ge.dst = st.final_url WHERE st.status = 404 AND kind = 's' GROUP BY st.final_url")
@@ -422,6 +454,16 @@ def link_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[2].select("id", "type", "crawled")
 
 
+@query("link_graph_typed_edges", f"WITH {GRAPH} SELECT src AS source, dst AS target, {_NODE_TYPE.replace('id ', 'src ')} AS source_type, {_NODE_TYPE.replace('id ', 'dst ')} AS target_type FROM ge")
+def link_graph_typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.typed_edges(_graph(spark, sf_dir)[1])
+
+
+@query("link_graph_inbound", f"WITH {GRAPH} SELECT dst AS url, src AS source FROM ge")
+def link_graph_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inbound_rows(_graph(spark, sf_dir)[1])
+
+
 _DEGREES = "dg AS (SELECT id, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM gn LEFT JOIN (SELECT dst, count(*) AS i FROM ge GROUP BY dst) a ON a.dst = id LEFT JOIN (SELECT src, count(*) AS o FROM ge GROUP BY src) b ON b.src = id)"
 _HUB = "(o > 0 AND rank() OVER (ORDER BY o DESC) <= greatest(1, ceil(0.1 * count(*) OVER ())))"
 
@@ -516,12 +558,57 @@ def cannibalization_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.cannibalization_members(store(spark, sf_dir)).select(F.col("finalUrl").alias("url"), "signal", "value", "n")
 
 
-@query("cannibalization_groups")
+_COLOUR_LIST = ", ".join(f"'{c}'" for c in tx.VARIANT_COLOURS)
+_VARIANT = f"list_filter(string_split({_I}, ' '), lambda t: t IN ({_COLOUR_LIST}))"
+_CODE = """CASE WHEN variant AND list_has_any(signals, ['duplicate_content', 'duplicate_title', 'duplicate_meta_description']) THEN 'content_cannibalization_variant_serp_risk' WHEN variant THEN 'content_cannibalization_variant_cluster'
+  WHEN list_contains(signals, 'duplicate_content') THEN 'content_cannibalization_duplicate_content' WHEN list_contains(signals, 'duplicate_title') AND list_contains(signals, 'duplicate_meta_description') THEN 'content_cannibalization_serp_duplicate'
+  WHEN list_contains(page_types, 'collection') AND list_contains(page_types, 'product') THEN 'content_cannibalization_collection_product_overlap' WHEN list_contains(signals, 'duplicate_title') THEN 'content_cannibalization_duplicate_title'
+  WHEN list_contains(signals, 'duplicate_meta_description') THEN 'content_cannibalization_duplicate_description' ELSE 'content_cannibalization_keyword_overlap' END"""
+_CODE_ORDER = "list_position([" + ", ".join(f"'{c}'" for c in site.PRIORITY) + "], code)"
+_COMPETING = f"""
+{_SX}, ed AS (SELECT DISTINCT l.src, l.dst FROM ({LINKS}) AS l JOIN sx ON sx.final_url = l.src WHERE l.src <> l.dst), inb AS (SELECT dst, count(*) AS n FROM ed GROUP BY dst),
+own AS (SELECT sx.*, coalesce(inb.n, 0) AS inbound, CASE WHEN len({_TOKENS}) < 3 THEN '' ELSE array_to_string({_TOKENS}, ' ') END AS intent, {_VARIANT} AS colours,
+  CASE page_type WHEN 'collection' THEN 60 WHEN 'product' THEN 50 WHEN 'page' THEN 35 WHEN 'article' THEN 30 WHEN 'blog' THEN 20 WHEN 'home' THEN 10 ELSE 0 END + 3 * coalesce(inb.n, 0) + least(words / 100, 20) + CASE WHEN description <> '' THEN 2 ELSE 0 END + CASE WHEN n_h1 = 1 THEN 2 ELSE 0 END AS score
+  FROM sx LEFT JOIN inb ON inb.dst = sx.final_url WHERE state = 'indexable'),
+sv AS (SELECT *, 'duplicate_content' AS signal, sha1(lower(text)) AS value FROM own UNION ALL SELECT *, 'duplicate_title', lower(title) FROM own WHERE length(title) >= 12
+  UNION ALL SELECT *, 'duplicate_meta_description', lower(description) FROM own WHERE length(description) >= 35 UNION ALL SELECT *, 'shared_keyword_intent', intent FROM own WHERE intent <> ''),
+gv AS (SELECT signal, value, list_sort(list(final_url)) AS urls, count(*) AS size, list_sort(list_distinct(list(page_type))) AS page_types, arg_max(final_url, (score, -crawl_seq)) AS primary_url, arg_max(inbound, (score, -crawl_seq)) AS primary_inbound,
+  arg_min(intent, (intent = '', crawl_seq)) AS intent_key, avg(CASE WHEN len(colours) > 0 THEN 1.0 ELSE 0.0 END) AS share, list_sort(list_distinct(flatten(list(list_transform(colours, lambda c: 'color:' || c))))) AS attributes
+  FROM sv GROUP BY signal, value HAVING count(*) > 1 AND (signal <> 'shared_keyword_intent' OR count(*) <= {site.MOST_INTENT})),
+mg AS (SELECT urls, list_sort(list(signal)) AS signals, any_value(size) AS size, any_value(page_types) AS page_types, any_value(primary_url) AS primary_url, any_value(primary_inbound) AS primary_inbound, any_value(intent_key) AS intent_key, any_value(share) AS share, any_value(attributes) AS attributes,
+  any_value(page_types) = ['product'] AND any_value(share) >= 0.55 AND len(any_value(attributes)) > 0 AS variant, coalesce(max(value) FILTER (WHERE signal = 'duplicate_title'), '') AS shared_title,
+  coalesce(max(value) FILTER (WHERE signal = 'duplicate_meta_description'), '') AS shared_description, coalesce(max(value) FILTER (WHERE signal = 'duplicate_content'), '') AS shared_hash FROM gv GROUP BY urls),
+cd AS (SELECT *, {_CODE} AS code FROM mg),
+cg AS (SELECT *, row_number() OVER (ORDER BY {_CODE_ORDER}, size DESC, intent_key, urls[1]) AS place, CASE code WHEN 'content_cannibalization_variant_cluster' THEN 'info' WHEN 'content_cannibalization_duplicate_content' THEN 'high' WHEN 'content_cannibalization_serp_duplicate' THEN 'high'
+  WHEN 'content_cannibalization_keyword_overlap' THEN 'recommended' ELSE 'medium' END AS severity, list_slice(list_filter(list_slice(urls, 1, 51), lambda x: x <> primary_url), 1, 50) AS competing FROM cd)
+"""
+
+
+@query("cannibalization_groups", f"""
+WITH {_COMPETING} SELECT severity, code, CASE WHEN NOT variant THEN 'true_cannibalization' ELSE replace(code, 'content_cannibalization_', '') END AS classification, CASE WHEN NOT variant THEN 'none' WHEN share >= 0.7 THEN 'medium' ELSE 'low' END AS confidence, array_to_string(signals, '|') AS signals,
+  array_to_string(page_types, '|') AS page_types, CAST(size AS BIGINT) AS size, intent_key, primary_url, CAST(primary_inbound AS BIGINT) AS primary_inbound, array_to_string(competing, '|') AS competing, CASE WHEN variant THEN 'color_variant' ELSE '' END AS variant_signals,
+  CASE WHEN variant THEN array_to_string(attributes, '|') ELSE '' END AS variant_attributes, shared_title, shared_description, shared_hash FROM cg""")
 def cannibalization_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.cannibalization_groups(store(spark, sf_dir))
+    groups = site.cannibalization_groups(store(spark, sf_dir))
+    lists = ("signals", "page_types", "competing", "variant_signals", "variant_attributes")
+    return groups.drop("group_id").withColumns({c: F.array_join(c, "|") for c in lists})
+
+
+@query("cannibalization_numbers", f"WITH {_COMPETING} SELECT 'CAN-' || lpad(CAST(place AS VARCHAR), CAST(greatest(4, length(CAST(place AS VARCHAR))) AS INTEGER), '0') AS group_id, code, CAST(size AS BIGINT) AS size, intent_key FROM cg")
+def cannibalization_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.cannibalization_groups(store(spark, sf_dir)).select("group_id", "code", "size", "intent_key")
+
+
+@query("cannibalization_pages", f"WITH {_COMPETING} SELECT code, array_to_string(signals, '|') AS signals, unnest(urls) AS url FROM cg")
+def cannibalization_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, pages = site.cannibalization_tables(store(spark, sf_dir))
+    return pages.join(groups, "group_id").select("code", F.array_join("signals", "|").alias("signals"), "url")
 
 
-@query("cannibalization_issues")
+@query("cannibalization_issues", f"""
+WITH {_COMPETING}, ev AS (SELECT *, 'primary=' || primary_url || '; competing=' || array_to_string(competing, '|') AS e FROM cg)
+SELECT primary_url AS url, page_types[1] AS "pageType", severity, 'content_cannibalization' AS category, code, replace(code, '_', ' ') AS message, 'Keep one page for the intent: ' || replace(code, '_', ' ') AS recommendation,
+  CASE WHEN length(e) > 360 THEN substr(e, 1, 357) || '...' ELSE e END AS evidence, CAST(size AS BIGINT) AS metric FROM ev""")
 def cannibalization_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.cannibalization_issues(site.cannibalization_groups(store(spark, sf_dir)))
 

@@ -51,6 +51,19 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     return rows.withColumn("url", F.trim("url")).filter("url <> ''")
 
 
+#: Where a sitemap is looked for if robots.txt names none (fixed values).
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap_products_1.xml")
+
+
+def detected_sitemaps(robots: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(sitemap, found_by)``: those of robots.txt, or else the first usual path that answered with a sitemap. ``candidates``: ``(sitemap, status, xml)``."""
+    named = sitemap_lines(robots).withColumn("found_by", F.lit("robots"))
+    place = F.array_position(F.array(*[F.lit(p) for p in SITEMAP_PATHS]), F.regexp_replace("sitemap", "^https?://[^/]+", ""))
+    usual = candidates.filter((F.col("status") < 400) & looks_like_sitemap(F.col("xml")) & (place > 0)).agg(F.min_by("sitemap", place).alias("sitemap")).filter("sitemap is not null")
+    any_named = named.agg((F.count(F.lit(1)) > 0).alias("_any"))
+    return named.unionByName(usual.join(any_named).filter("not _any").select("sitemap", F.lit("common").alias("found_by")))  # one row on either side
+
+
 def sitemap_children(sitemaps: DataFrame) -> DataFrame:
     plain = F.regexp_replace("xml", r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
     return sitemaps.filter(looks_like_sitemap(F.col("xml"))).select("sitemap", F.explode(F.xpath(plain, F.lit("/sitemapindex/sitemap/loc/text()"))).alias("child")).withColumn("child", F.trim("child")).filter("child <> ''")
@@ -126,6 +139,31 @@ def probe(log: DataFrame, max_pages: int = 20) -> DataFrame:
     return read.groupBy("collection").agg(F.count(F.lit(1)).alias("pages_probed"), F.sum("products_found").alias("products_seen"), F.sum("new_products").alias("unique_products"), reason.alias("stop_reason"))
 
 
+def probe_pages(log: DataFrame, max_pages: int = 20) -> DataFrame:
+    """``(collection, page, products_found, new)`` for each page that a probe read."""
+    inside = log.filter(F.col("page_no") <= max_pages)
+    first = inside.groupBy("collection", "product_handle").agg(F.min("page_no").alias("page_no"))
+    new = first.groupBy("collection", "page_no").agg(F.count(F.lit(1)).alias("new"))
+    seen = inside.groupBy("collection", "page_no").agg(F.count_distinct("product_handle").alias("products_found")).join(new, ["collection", "page_no"], "left").fillna({"new": 0})
+    stop = seen.filter("new = 0").groupBy("collection").agg(F.min("page_no").alias("_stop"))
+    read = seen.join(stop, "collection", "left").filter(F.col("_stop").isNull() | (F.col("page_no") <= F.col("_stop")))
+    return read.select("collection", F.col("page_no").alias("page"), "products_found", "new")
+
+
+def probe_totals(probes: DataFrame) -> DataFrame:
+    """One row for a run of probes alone."""
+    return probes.agg(F.count(F.lit(1)).alias("total_collections_probed"), F.coalesce(F.sum("unique_products"), F.lit(0)).alias("total_products_discovered"), F.lit(True).alias("probe_only_mode"))
+
+
+def html_handles(bodies: DataFrame) -> DataFrame:
+    """Product handles in order from listing pages ``(page_no, body)``, where the JSON interface doesn't answer; stops as ``api_handles`` does."""
+    found = F.array_distinct(F.regexp_extract_all("body", F.lit(r"""href=["'][^"']*/products/([^"'/?#]+)"""), F.lit(1)))
+    rows = bodies.select("page_no", F.coalesce(found, F.array().cast("array<string>")).alias("h"))
+    stop = rows.filter(F.size("h") == 0).agg(F.coalesce(F.min("page_no"), F.lit(2**31 - 1)).alias("stop"))
+    kept = rows.join(stop).filter("page_no < stop")  # one row on the right
+    return kept.select(F.explode("h").alias("handle"), "page_no").groupBy("handle").agg(F.min("page_no").alias("page_no"))
+
+
 def memberships(log: DataFrame) -> DataFrame:
     return log.select("product_handle", F.col("collection").alias("collection_handle")).distinct()
 
@@ -162,6 +200,38 @@ def page_speed(results: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
+_FULL_AUDIT = "struct<id:string,title:string,displayValue:string,numericValue:double,details:struct<type:string,overallSavingsMs:double>>"
+_FULL_PSI = (
+    f"lighthouseResult struct<fetchTime:string,categories:map<string,struct<score:double>>,audits:map<string,{_FULL_AUDIT}>>, "
+    "loadingExperience struct<metrics:map<string,struct<percentile:bigint>>>"
+)
+
+
+def page_speed_table(results: DataFrame, most: int = 5) -> DataFrame:
+    """All columns of the page-speed report from ``(url, strategy, error, body)``; without a result, the row keeps only what was asked and the error."""
+    def score(name: str) -> Column:
+        return F.round(F.try_element_at(F.col("r.lighthouseResult.categories"), F.lit(name))["score"] * 100).cast("int")
+
+    def metric(name: str, digits: int = 0) -> Column:
+        return F.round(F.try_element_at(F.col("r.lighthouseResult.audits"), F.lit(name))["numericValue"], digits)
+
+    def field(name: str) -> Column:
+        return F.try_element_at(F.col("r.loadingExperience.metrics"), F.lit(name))["percentile"]
+
+    saving = lambda a: F.coalesce(a["details"]["overallSavingsMs"], F.lit(0.0))
+    chances = F.filter(F.map_values("r.lighthouseResult.audits"), lambda a: a["details"]["type"] == "opportunity")
+    placed = F.array_sort(F.transform(chances, lambda a, i: F.struct((-saving(a)).alias("s"), i.alias("i"), F.concat(F.coalesce(a["title"], a["id"]), F.lit(": "), F.coalesce(a["displayValue"], F.concat(F.round(saving(a)).cast("long").cast("string"), F.lit(" ms")))).alias("t"))))
+    ok = F.col("r.lighthouseResult").isNotNull()
+    return results.withColumn("r", F.from_json("body", _FULL_PSI)).select(
+        "url", "strategy", F.when(ok, "ok").otherwise("error").alias("status"), F.when(ok, "").otherwise(F.coalesce("error", F.lit("no result"))).alias("error"), F.coalesce("r.lighthouseResult.fetchTime", F.lit("")).alias("fetchTime"),
+        score("performance").alias("performanceScore"), score("accessibility").alias("accessibilityScore"), score("best-practices").alias("bestPracticesScore"), score("seo").alias("seoScore"),
+        metric("first-contentful-paint").alias("firstContentfulPaintMs"), metric("largest-contentful-paint").alias("largestContentfulPaintMs"), metric("speed-index").alias("speedIndexMs"), metric("total-blocking-time").alias("totalBlockingTimeMs"),
+        metric("cumulative-layout-shift", 3).alias("cumulativeLayoutShift"), metric("interactive").alias("interactiveMs"), field("LARGEST_CONTENTFUL_PAINT_MS").alias("cruxLargestContentfulPaintMs"),
+        field("CUMULATIVE_LAYOUT_SHIFT_SCORE").alias("cruxCumulativeLayoutShift"), field("INTERACTION_TO_NEXT_PAINT").alias("cruxInteractionToNextPaintMs"),
+        F.coalesce(F.array_join(F.transform(F.slice(placed, 1, most), lambda x: x["t"]), " | "), F.lit("")).alias("topOpportunities"),
+    )
+
+
 def first_occurrence(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Flag the first row of each key."""
     return rows.withColumn("is_first", F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1)

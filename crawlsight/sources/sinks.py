@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import ISSUE_COLUMNS
-
 
 def flatten(df: DataFrame, separator: str = ",") -> DataFrame:
     """Arrays of text as joined text, maps and structs as JSON; text files take nothing else."""
@@ -33,15 +31,28 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_issues(issues: DataFrame, path: str) -> None:
-    write_csv(issues, f"{path}/csv", [c for c in (*ISSUE_COLUMNS, "inbound_sources", "reachable_via") if c in issues.columns])
+    issues.persist()
+    write_csv(issues, f"{path}/csv", [c for c in issues.columns if c != "metric" or "issue" not in issues.columns])
     write_json(issues, f"{path}/json")
+    issues.unpersist()
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table of a run as CSV and JSON."""
+    """Every table of a run as CSV and JSON, computed once."""
     for name, df in tables.items():
+        df.persist()
         write_csv(df, f"{path}/{name}/csv")
         write_json(df, f"{path}/{name}/json")
+        df.unpersist()
+
+
+def write_checkpoint(pages: DataFrame, issues: DataFrame, path: str, note: str = "Partial run; site-wide reports are written when it ends.") -> None:
+    """What a run has so far, with a row of progress that is written last: a reader that finds it finds the rest whole."""
+    pages.write.mode("overwrite").parquet(f"{path}/pages")
+    write_issues(issues, f"{path}/issues")
+    spark = pages.sparkSession
+    counts = spark.read.parquet(f"{path}/pages").agg(F.count(F.lit(1)).alias("totalCrawled")).join(spark.read.json(f"{path}/issues/json", schema="url string").agg(F.count(F.lit(1)).alias("issueCount")))
+    write_json(counts.withColumn("generatedAt", F.current_timestamp()).withColumn("note", F.lit(note)), f"{path}/progress")
 
 
 def read_csv(spark, path: str, schema: T.StructType) -> DataFrame:
