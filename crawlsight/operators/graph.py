@@ -53,9 +53,24 @@ def typed_edges(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), u.node_type(path_of("src")).alias("source_type"), u.node_type(path_of("dst")).alias("target_type")).orderBy("source", "target")
 
 
-def filtered(edge_rows: DataFrame, node_rows: DataFrame, types: tuple[str, ...] = (), text: str = "") -> tuple[DataFrame, DataFrame]:
-    """The part of a graph with nodes of some types (all, if none is named) whose URL holds ``text``, and the edges between them."""
-    kept = node_rows.filter((F.col("type").isin(*types) if types else F.lit(True)) & F.contains(F.lower("id"), F.lit(text.lower())))
+#: Views of a graph by name, as conditions on its summary.
+VIEWS = {"all": "true", "hubs": "is_hub", "orphans": "is_orphan", "catalog": "type in ('collection', 'product')", "seo": "not is_utility"}
+
+
+def described(edge_rows: DataFrame, node_rows: DataFrame, summary_rows: DataFrame) -> DataFrame:
+    """Nodes with their summaries; a node that only one of the tables has, or only the edges, gets what its URL tells and nought for the rest."""
+    ends = edge_rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    own = node_rows.select("id", F.col("type").alias("_type"), F.col("crawled").alias("_crawled"))
+    told = summary_rows.select(F.col("url").alias("id"), *[c for c in summary_rows.columns if c not in ("url", "inbound_sources")])
+    rows = ends.join(own, "id", "full_outer").join(told, "id", "full_outer")
+    rows = rows.withColumn("type", F.coalesce("type", "_type", u.node_type(path_of("id")))).withColumn("crawled", F.coalesce("crawled", "_crawled", F.lit(False)))
+    rows = rows.withColumn("is_utility", F.coalesce("is_utility", u.is_utility(path_of("id")))).drop("_type", "_crawled")
+    return rows.fillna(0, ["inbound_count", "outbound_count", "pagerank_score", "seo_pagerank_score"]).fillna(False, ["is_orphan", "is_sink", "is_hub"])
+
+
+def view(edge_rows: DataFrame, described_rows: DataFrame, name: str = "all", text: str = "") -> tuple[DataFrame, DataFrame]:
+    """The edges and nodes of one of ``VIEWS``, of nodes whose URL holds ``text``."""
+    kept = described_rows.filter(VIEWS[name]).filter(F.contains(F.lower("id"), F.lit(text.strip().lower())))
     ids = kept.select("id")
     inside = edge_rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return inside, kept

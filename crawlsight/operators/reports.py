@@ -142,6 +142,11 @@ def image_summary(pages: DataFrame, usages: DataFrame, issues: DataFrame) -> Dat
     return p.join(v).join(i)  # one row each
 
 
+def image_summary_rows(summary: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Summary and patterns as the rows of one flat table."""
+    return summary.withColumn("section", F.lit("summary")).unionByName(patterns.withColumn("section", F.lit("alt_text_pattern_analysis")), allowMissingColumns=True)
+
+
 def image_issue_counts(issues: DataFrame) -> DataFrame:
     own = (F.col("category") == "images") | F.col("code").isin("image_count_high", "large_image_url_width", "primary_image_lazy_loaded", "lazy_loading_missing")
     return issues.filter(F.col("category").isin("images", "page_speed") & own).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
@@ -163,6 +168,12 @@ def retries(attempts: DataFrame) -> DataFrame:
     return again.groupBy(F.coalesce(F.col("status").cast("string"), F.lit("error")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def clamped(x: Column, low: int, high: int, otherwise: int) -> Column:
+    """A whole number within bounds; ``otherwise`` for what isn't one."""
+    number = F.floor(x.cast("string").try_cast("double"))
+    return F.when(number.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), number))).otherwise(F.lit(otherwise)).cast("long")
+
+
 def backoff_ms(retry_after: Column, attempt: Column, delay_ms: int = 3000) -> Column:
     return F.when(retry_after > 0, retry_after * 1000).otherwise((attempt + 2) * delay_ms)
 

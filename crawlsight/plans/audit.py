@@ -86,6 +86,7 @@ def tables(pages: DataFrame, left: Recorded = Recorded(), settings: rules.Settin
         "image_seo_summary": reports.image_summary(pages, usages, plain),
         "image_issue_counts": reports.image_issue_counts(plain),
         "image_alt_patterns": reports.alt_patterns(usages),
+        "image_summary_rows": reports.image_summary_rows(reports.image_summary(pages, usages, plain), reports.alt_patterns(usages)),
         "image_top_missing_alt": reports.top_missing_alt(plain, pages),
         "link_graph_nodes": nodes.select("id", "type", "crawled").orderBy("id"),
         "link_graph_edges": graph.typed_edges(edges),
@@ -104,6 +105,12 @@ def tables(pages: DataFrame, left: Recorded = Recorded(), settings: rules.Settin
     return out
 
 
+def probe_only(log: DataFrame) -> dict[str, DataFrame]:
+    """A run of pagination probes alone: collections, the pages that were read, and totals."""
+    probes = saved(recorded.probe(log), "probes")
+    return {"collection_probe": probes, "probe_pages": recorded.probe_pages(log), "probe_totals": recorded.probe_totals(probes)}
+
+
 def run(raw: DataFrame, path: str, left: Recorded = Recorded(), settings: rules.Settings = rules.Settings()) -> dict[str, DataFrame]:
     """Raw pages in, every table out, as CSV and JSON below ``path``."""
     made = tables(page_table(raw, settings), left, settings)

@@ -157,8 +157,26 @@ def test_graph_parts_and_depth_without_a_limit(spark):
     edges = spark.createDataFrame([(f"{HOST}/pages/{i}" if i else f"{HOST}/", f"{HOST}/pages/{i + 1}") for i in range(12)], schema.EDGE)
     nodes = spark.createDataFrame([(f"{HOST}/",), *[(f"{HOST}/pages/{i}",) for i in range(1, 13)]], "id string").withColumn("type", u.node_type(graph.path_of("id")))
     assert max(r["depth"] for r in graph.depths(edges, nodes).collect()) == 12 and max(r["depth"] or 0 for r in graph.depths(edges, nodes, 3).collect()) == 3
-    inside, kept = graph.filtered(edges, nodes, ("page",), "/PAGES/1")
-    assert {r["id"] for r in kept.collect()} == {f"{HOST}/pages/{i}" for i in (1, 10, 11, 12)} and inside.count() == 2
+
+
+def test_views_of_a_graph(spark, made):
+    edges = made["link_graph_edges"].select(F.col("source").alias("src"), F.col("target").alias("dst")).unionByName(spark.createDataFrame([(f"{HOST}/", f"{HOST}/products/unknown")], schema.EDGE))
+    rows_ = graph.described(edges, made["link_graph_nodes"], made["link_graph_summary"])
+    by_id = {r["id"]: r for r in rows_.collect()}
+    new = by_id[f"{HOST}/products/unknown"]
+    assert (new["type"], new["crawled"], new["inbound_count"], new["is_orphan"], new["is_utility"]) == ("product", False, 0, False, False) and by_id[f"{HOST}/products/a"]["inbound_count"] == 3
+    inside, kept = graph.view(edges, rows_, "catalog", " PRODUCTS ")
+    assert {r["id"] for r in kept.collect()} == {i for i in by_id if "/products/" in i} and inside.count() == 0
+    assert {r["id"] for r in graph.view(edges, rows_, "seo")[1].collect()} == set(by_id) - {f"{HOST}/cart"}
+    assert {n: graph.view(edges, rows_, n)[1].count() for n in ("hubs", "orphans")} == {n: sum(r[f"is_{n[:-1]}"] for r in by_id.values()) for n in ("hubs", "orphans")}
+
+
+def test_small_parts(spark, made):
+    frame = spark.createDataFrame([("7.9",), ("-3",), ("900",), ("x",), (None,)], "v string")
+    assert [r[0] for r in frame.select(reports.clamped(F.col("v"), 0, 100, 5)).collect()] == [7, 0, 100, 5, 5]
+    log = spark.createDataFrame([("c", 1, "a")], schema.PROBE_LOG)
+    assert audit.probe_only(log)["probe_totals"].first()["total_collections_probed"] == 1
+    assert sorted(r["section"] for r in rows(made["image_summary_rows"])) == ["alt_text_pattern_analysis"] * 4 + ["summary"]
 
 
 def test_metadata_summary(spark, raw):
@@ -231,3 +249,29 @@ def test_streams(spark, raw, tmp_path):
         made.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert {r["finalUrl"] for r in spark.table("first").collect()} == {"a", "b"} and spark.table("first").count() == 2
     assert sorted((r["fetches"], r["failures"]) for r in spark.table("windows").collect()) == [(1, 1), (2, 0)]
+
+
+def test_rules_that_the_store_never_breaks(spark):
+    """One page for each of the rarer codes."""
+    long = "a very long text for one image that goes on and on and on " * 3
+    cases = [
+        ("/collections/all-things", "Products", "", "", "", ("collection_title_too_generic",)),
+        ("/collections/c/tag", "A tagged part of one collection", "", "", "", ("indexable_collection_tag_url",)),
+        ("/collections/c/products/a", "A product below a collection page", '<link rel="canonical" href="/products/other">', "", "", ("duplicate_product_url_bad_canonical",)),
+        ("/products/long-alt", "A product with a long alternative", "", f'<img src="/cdn/shop/files/x.jpg" alt="{long}">', "", ("image_alt_too_long",)),
+        ("/pages/brand", "Acme", "", "", "", ("serp_brand_only_title",)),
+        ("/pages/canonical", "A page with a broken canonical URL", '<link rel="canonical" href="http://">', "", "", ("invalid_canonical_url",)),
+        ("/pages/meta", "A page with directives in its markup", '<meta name="robots" content="max-video-preview:0, noimageindex, unavailable_after: 2030-01-01">', "", "", ("meta_robots_max_video_preview_limited", "meta_robots_noimageindex", "meta_robots_unavailable_after")),
+        ("/pages/header", "A page with directives in its header", "", "", "max-image-preview:none, max-snippet:5, noarchive, nosnippet", ("x_robots_tag_max_image_preview_restricted", "x_robots_tag_max_snippet_limited", "x_robots_tag_noarchive", "x_robots_tag_nosnippet")),
+    ]
+    raw = [(n, HOST + path, HOST + path, None, False, 0, 200, 0, "text/html", header, 1, html(title, (), body, head)) for n, (path, title, head, body, header, _) in enumerate(cases)]
+    found = rules.page_issues(extract.pages(spark.createDataFrame(raw, schema.RAW_PAGE)), rules.Settings(brands=("Acme",))).select("url", "code").collect()
+    by_url = {}
+    for r in found:
+        by_url.setdefault(r["url"], set()).add(r["code"])
+    for path, _, _, _, _, codes in cases:
+        assert set(codes) <= by_url[HOST + path], (path, codes, sorted(by_url[HOST + path]))
+    everywhere = set().union(*by_url.values())
+    for _, _, _, _, _, codes in cases:
+        assert all(sum(c in x for x in by_url.values()) == 1 for c in codes if c != "indexable_collection_tag_url"), codes
+    assert "fetch_http_error" not in everywhere
