@@ -42,6 +42,8 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 WINDOW, CUT_BITS = 16, 10
 #: Bytes of chunks that a task remembers.
 CACHE_BYTES = 8 << 20
+#: Ids that are put together at a time.
+DECODED = 1 << 16
 
 _ROLL = np.uint32(0x01000193)
 _SCATTER = np.uint32(0x9E3779B1)
@@ -81,13 +83,16 @@ class Codec:
         if order != sorted(order):
             raise ValueError(f"{path}: ids don't follow the order of the merges")
         self._engine = tiktoken.Encoding("file", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        size = max([*ranks.values(), *self.special.values()]) + 1
-        self.pieces: list[bytes] = [b""] * size
+        pieces = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
         for piece, i in ranks.items():
-            self.pieces[i] = piece
+            pieces[i] = piece
         for content, i in self.special.items():
-            self.pieces[i] = content.encode()
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+            pieces[i] = content.encode()
+        # One array, not an object for each piece: objects that live as long as the worker keep what was freed around them from going back.
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        ranks.clear()  # the engine has its own copy
         self._specials = [s.encode() for s in self.special]
 
     def encode(self, raw: bytes) -> np.ndarray:
@@ -97,7 +102,13 @@ class Codec:
         return np.asarray(self._engine.encode_ordinary(text), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        out = []
+        for at in range(0, len(ids), DECODED):
+            own = ids[at : at + DECODED]
+            n = self.lengths[own]
+            ends = np.cumsum(n)
+            out.append(self._bytes[np.arange(ends[-1]) + np.repeat(self._starts[own] - ends + n, n)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
     def guarded(self, raw: bytes) -> list[tuple[int, int]]:
         """Where special tokens lie."""
@@ -137,7 +148,10 @@ _GAP[[0x09, 0x0A, 0x0D, 0x20]] = True
 
 
 def _sync(raw: bytes) -> tuple[int, int]:
-    """The first and the last sure boundary in a chunk, or -1."""
+    """A sure boundary near the start of a chunk and one near its end, or -1."""
+    first, last = raw.find(b" ", 1), raw.rfind(b" ", 1)
+    if 0 < first and _SOLID[raw[first - 1]] and _SOLID[raw[last - 1]]:
+        return first, last
     b = np.frombuffer(raw, np.uint8)
     sure = _GAP[b[1:]] & _SOLID[b[:-1]]
     if len(b) > 5:  # U+5000 to U+8FFF before U+3001, U+3002 or U+FF0C

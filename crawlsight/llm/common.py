@@ -103,6 +103,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
 
 def give_back() -> None:
     """Return free memory to the system at the end of a task: Python workers wait for their next one with what they hold."""
+    global _POWERS, _INVERSES
+    _POWERS = _INVERSES = np.ones(1, dtype=np.uint64)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -97,6 +97,36 @@ def test_one_repeated_id_still_trains(spark):
     assert model.languages == ("en",)
 
 
+# 2
+
+
+def test_engines_agree_on_every_assigned_character():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    codec = bpe.Codec(bpe.default_path())
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)} {chr(c)}x  {chr(c)}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for text, enc in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(text.encode()).tolist() == enc.ids
+
+
+@pytest.mark.parametrize("bits", [2, 4, 9])
+def test_chunks_join_exactly_around_white_space_and_ideographs(bits):
+    codec = bpe.Codec(bpe.default_path())
+    rng = np.random.default_rng(bits)
+    pieces = ["这是文章", "、", "。", "，", "字", "\n", "\r\n", "\t", " ", "\u3000", "\u00a0", "\u2009", "\x85", "\u2028", "ab", "12", "é", "...", "'s", "  ", "ñ\n", "ш ", "丿，", "\u1680 "]
+    encoder = bpe.ChunkEncoder(codec, cache_bytes=1500)
+    for _ in range(80):
+        text = "".join(rng.choice(pieces, rng.integers(0, 250)))
+        raw, offsets = view([text])
+        assert encoder.encode(text.encode(), bpe.cuts(raw, offsets, bits).tolist()).tolist() == codec.encode(text.encode()).tolist()
+
+
 # 3
 
 
