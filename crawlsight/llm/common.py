@@ -58,6 +58,14 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table as ``cut_lineage`` returned it, once nothing that reads it is needed."""
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of text in an Arrow batch; texts of a few kilobytes make batches of a few megabytes on both sides.
 BATCH_ROWS = 1000
 
