@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, langid, licences, mixing, nearjoin, packing, quality, rules, secrets, sharding, topk
+from . import bpe, centroids, langid, licences, mixing, nearjoin, packing, quality, resample, rules, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,15 @@ def queries() -> dict[str, Query]:
         "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
         "op11_best_two_fit": packing.op11_best_two_fit,
         "op12_exponion_clusters": centroids.op12_exponion_clusters,
+        "op13_duckdb_resampling": resample.op13_duckdb_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.OP4_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_rendezvous_sharding": sharding.OP9_SQL, "op12_exponion_clusters": centroids.OP12_SQL}
+    return {
+        "op4_exact_topk": topk.OP4_SQL,
+        "op6_source_mixing": mixing.OP6_SQL,
+        "op9_rendezvous_sharding": sharding.OP9_SQL,
+        "op12_exponion_clusters": centroids.OP12_SQL,
+        "op13_duckdb_resampling": resample.OP13_SQL,
+    }
