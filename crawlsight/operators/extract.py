@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import images as img
 from ..functions import text as tx
 from ..functions import url as u
-from ..schema import PARSED
+from ..schema import PARSED, RESOLVED
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "svg", "template"}
@@ -164,17 +164,45 @@ def parse(html: str | None) -> dict:
     }
 
 
-def parse_html(raw: DataFrame, html: str = "html") -> DataFrame:
-    """Add the columns of ``PARSED``. Filter on status and URL before this: nothing is pushed through it."""
+def _resolved(found: dict, base: str | None, keep_query: bool) -> dict:
+    """Links, images and scripts of a page with the addresses that they mean; of links alike in both forms of the address the first stays."""
+    seen: dict[str, tuple] = {}
+
+    def at(url: str) -> tuple:
+        if url not in seen:
+            seen[url] = u.take_apart(url, base)
+        return seen[url]
+
+    own = u.take_apart(base)[1]
+    links: dict[tuple, dict] = {}
+    for a in found["anchors"]:
+        href, origin, _, _, path, query, valid = at(a["rawHref"])
+        if valid:
+            bare = path[:-1] if len(path) > 1 and path.endswith("/") else path
+            shown = href.partition("#")[0] if origin == "null" else origin + bare + (query if keep_query else "")
+            links.setdefault((shown, a["rawHref"]), {"href": shown, **a, "internal": None if own is None else origin == own})
+    images = [{**i, "src": at(i["rawSrc"])[0] or i["rawSrc"]} for i in found["rawImages"] if i["rawSrc"]]
+    scripts = [{"host": p[3], "path": p[4], "foreign": None if own is None else p[1] != own} for p in map(at, found["scripts"]) if p[6]]
+    return {"links": list(links.values()), "images": images, "scriptUrls": scripts}
+
+
+def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None = None, base: str | None = None, keep_query: bool = False) -> DataFrame:
+    """Add the columns of ``PARSED``, or those of them in ``fields``, and with ``base``, the column of the page's own URL, those of ``RESOLVED``.
+
+    Filter on status and URL before this: nothing is pushed through it.
+    """
     names = raw.columns
-    schema = T.StructType([*raw.schema.fields, *PARSED.fields])
-    kinds = to_arrow_schema(PARSED)
+    added = [f for f in PARSED.fields if fields is None or f.name in fields] + (RESOLVED.fields if base else [])
+    schema = T.StructType([*raw.schema.fields, *added])
+    kinds = to_arrow_schema(T.StructType(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = [parse(x) for x in part.column(html).to_pylist()]
+                if base:
+                    rows = [r | _resolved(r, b, keep_query) for r, b in zip(rows, part.column(base).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(n) for n in names], *[pa.array([r[f.name] for r in rows], f.type) for f in kinds]], names=[*names, *kinds.names]
                 )
@@ -215,39 +243,21 @@ def with_redirect(raw: DataFrame) -> DataFrame:
 
 
 def resolve(df: DataFrame, key: list[str], items: str, raw: str, base: str) -> DataFrame:
-    """``items`` exploded with their place and the parts of their URL, each different pair of URL and base taken apart once a batch."""
+    """``items`` exploded with their place and the parts of their URL."""
     rows = df.select(*key, F.col(base).alias("_base"), F.posexplode(items).alias("pos", "item"))
     return rows.withColumn("parts", u.parts(F.col(f"item.{raw}"), "_base"))
 
 
 def pages(raw: DataFrame, keep_query: bool = False) -> DataFrame:
-    """The page table from raw pages. A page's URLs are resolved in one UDF pass over arrays, without a shuffle."""
-    parsed = parse_html(keep_html(raw))
-    p = u.parts("finalUrl")
-    mode = "page_query" if keep_query else "page"
-    with_urls = parsed.withColumn("_p", p).withColumn(
-        "_hrefs", _resolve_array(F.transform("anchors", lambda a: a["rawHref"]), F.col("finalUrl"))
-    ).withColumn("_srcs", _resolve_array(F.transform("rawImages", lambda i: i["rawSrc"]), F.col("finalUrl"))).withColumn("_scripts", _resolve_array(F.col("scripts"), F.col("finalUrl")))
-    links = F.array_distinct(
-        F.filter(
-            F.transform(F.arrays_zip(F.col("anchors").alias("a"), F.col("_hrefs").alias("h")), lambda z: F.struct(
-                u.normalized(z["h"], mode).alias("href"), z["a"]["rawHref"].alias("rawHref"), z["a"]["text"].alias("text"), z["a"]["rel"].alias("rel"),
-                (z["h"]["origin"] == F.col("_p.origin")).alias("internal"))),
-            lambda x: x["href"].isNotNull(),
-        )
-    )
-    pictures = F.filter(
-        F.transform(F.arrays_zip(F.col("rawImages").alias("a"), F.col("_srcs").alias("h")), lambda z: F.struct(
-            F.when(z["a"]["rawSrc"] == "", "").otherwise(F.coalesce(z["h"]["href"], z["a"]["rawSrc"])).alias("src"), z["a"]["rawSrc"].alias("rawSrc"), z["a"]["alt"].alias("alt"),
-            z["a"]["width"].alias("width"), z["a"]["height"].alias("height"), z["a"]["fetchPriority"].alias("fetchPriority"), z["a"]["lazy"].alias("lazy"))),
-        lambda x: x["src"] != "",
-    )
-    full = with_urls.withColumn("links", _first_by_key(links)).withColumn("images", pictures).withColumn("shopify", platform(F.col("html"), F.col("_p.path"), F.col("digitalWallet")))
-    hosts = F.array_distinct(F.transform(F.filter("_scripts", lambda s: s["valid"] & (s["origin"] != F.col("_p.origin")) & ~_contains_any(s["host"], CORE_HOSTS)), lambda s: s["host"]))
-    apps = F.array_distinct(F.transform(F.filter("_scripts", lambda s: s["valid"] & F.concat(s["host"], s["path"]).rlike(APP_SCRIPTS) & ~F.contains(s["host"], F.lit("cdn.shopify.com"))), lambda s: s["host"]))
+    """The page table from raw pages. The pass that parses a page resolves its URLs too; there is no shuffle."""
+    fields = [n for n in PARSED.names if n not in ("anchors", "rawImages", "scripts")]
+    parsed = parse_html(keep_html(raw), fields=fields, base="finalUrl", keep_query=keep_query).withColumn("_p", u.parts("finalUrl"))
+    full = parsed.withColumn("shopify", platform(F.col("html"), F.col("_p.path"), F.col("digitalWallet")))
+    hosts = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: s["foreign"] & ~_contains_any(s["host"], CORE_HOSTS)), lambda s: s["host"]))
+    apps = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: F.concat(s["host"], s["path"]).rlike(APP_SCRIPTS) & ~F.contains(s["host"], F.lit("cdn.shopify.com"))), lambda s: s["host"]))
     primary = F.get(F.filter("images", img.is_primary), 0)
     speed = F.struct(
-        F.round(F.octet_length("html") / 1024).cast("int").alias("htmlSizeKb"), "domElementCount", "scriptCount", F.size(F.filter("_scripts", lambda s: s["valid"])).alias("externalScriptCount"),
+        F.round(F.octet_length("html") / 1024).cast("int").alias("htmlSizeKb"), "domElementCount", "scriptCount", F.size("scriptUrls").alias("externalScriptCount"),
         F.size(hosts).alias("thirdPartyScriptCount"), F.size(apps).alias("shopifyAppScriptCount"), "stylesheetCount", "renderBlockingStylesheetCount", F.size("images").alias("imageCount"),
         F.size(F.filter("images", lambda i: img.wide(i["src"]))).alias("largeImageUrlCount"), "preloadedImageCount", tx.blank(primary["fetchPriority"]).alias("primaryImageFetchPriority"),
         F.coalesce(primary["lazy"], F.lit(False)).alias("primaryImageLazy"), hosts.alias("thirdPartyScriptHosts"), apps.alias("shopifyAppScriptHosts"),
@@ -266,26 +276,6 @@ def _contains_any(x: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def _first_by_key(links: Column) -> Column:
-    """The first link of each (href, raw href)."""
-    return F.filter(links, lambda x, i: F.size(F.filter(F.slice(links, F.lit(1), i), lambda y: (y["href"] == x["href"]) & (y["rawHref"] == x["rawHref"]))) == 0)
-
-
-@F.pandas_udf(T.ArrayType(u.PARTS))
-def _resolve_array(urls, base):
-    import pandas as pd
-
-    names, seen, out = ("href", "origin", "scheme", "host", "path", "query", "valid"), {}, []
-    for own, b in zip(urls, base, strict=True):
-        row = []
-        for x in own if own is not None else ():
-            if (x, b) not in seen:
-                seen[x, b] = dict(zip(names, u.take_apart(x, b), strict=True))
-            row.append(seen[x, b])
-        out.append(row)
-    return pd.Series(out)
-
-
 def image_usages(page_table: DataFrame) -> DataFrame:
     """A row for each image of each page."""
     rows = page_table.select(F.col("finalUrl").alias("pageUrl"), "pageType", F.explode("images").alias("i"))

@@ -74,7 +74,7 @@ def indexability_table(pages: DataFrame, sitemap_urls: DataFrame, page_issues: D
 
 
 def indexability_report(pages: DataFrame, sitemap_urls: DataFrame, alternates: bool = False) -> DataFrame:
-    listed = sitemap_urls.select(u.form("url", "compare", F.col("url")).alias("compare_key"), F.lit(True).alias("_in")).distinct()
+    listed = sitemap_urls.select(u.form("url", "compare", F.col("url"), idn=True).alias("compare_key"), F.lit(True).alias("_in")).distinct()
     named = F.filter("meta.alternates", lambda a: tx.blank(a["hreflang"]) != "")
     more = [F.size("meta.alternates").alias("alternateCount"), F.array_join(F.transform(named, lambda a: a["hreflang"]), "|").alias("hreflangValues")] if alternates else []
     return pages.join(listed, "compare_key", "left").select(

@@ -63,7 +63,7 @@ def prepare(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add what several rules use: URL parts and indexability, once for each page."""
     p = pages.withColumn("_p", u.parts("finalUrl"))
     state = rb.summary(F.col("status"), F.col("meta.robots"), F.col("xRobotsTag"), F.col("meta.canonical"), F.col("finalUrl"), F.lit(settings.as_of).cast("timestamp"))
-    return p.withColumn("indexability", state).withColumn("_canonical", u.parts(F.col("meta.canonical"), F.col("finalUrl")))
+    return p.withColumn("indexability", state).withColumn("_canonical", u.parts(F.col("meta.canonical"), F.col("finalUrl"), idn=True))
 
 
 def fetch() -> Family:
@@ -132,7 +132,7 @@ def social() -> Family:
     c = "metadata"
     title, og, tw = _m("title"), _m("ogTitle"), _m("twitterTitle")
     target = F.when(F.col("indexability.canonicalTarget") != "", F.col("indexability.canonicalTarget")).otherwise(u.normalized(F.col("_p"), "compare", F.lit("")))
-    own = u.form(F.col("meta.ogUrl"), "compare", F.lit(""), F.col("finalUrl"))
+    own = u.form(F.col("meta.ogUrl"), "compare", F.lit(""), F.col("finalUrl"), idn=True)
     return Family(
         "social",
         (

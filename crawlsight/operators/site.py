@@ -25,13 +25,10 @@ IN_SITEMAP = ("home", "product", "collection", "page", "blog", "article", "polic
 
 def keyed(pages: DataFrame) -> DataFrame:
     """Add ``compare_key`` and ``graph_key`` of the final URL and ``requested_key`` of the requested one; a URL that doesn't parse keys as itself."""
-    p, q = u.parts("finalUrl"), u.parts("url")
-    return (
-        pages.withColumn("_p", p).withColumn("_q", q)
-        .withColumn("compare_key", u.normalized(F.col("_p"), "compare", F.col("finalUrl")))
-        .withColumn("graph_key", u.normalized(F.col("_p"), "graph", F.col("finalUrl")))
-        .withColumn("requested_key", u.normalized(F.col("_q"), "graph", F.col("url")))
-    )
+    def key(url: str, mode: str) -> Column:
+        return u.form(url, mode, F.col(url)).alias(f"{mode}_key")
+
+    return pages.select("*", u.parts("finalUrl").alias("_p"), key("finalUrl", "compare"), key("finalUrl", "graph"), key("url", "graph").alias("requested_key"))
 
 
 def _issues(rows: DataFrame, *kinds: tuple) -> DataFrame:
@@ -63,7 +60,7 @@ def duplicates(pages: DataFrame) -> DataFrame:
 
 
 def canonical_origin(pages: DataFrame) -> DataFrame:
-    c, p = u.parts(F.col("meta.canonical"), F.col("finalUrl")), u.parts("finalUrl")
+    c, p = u.parts(F.col("meta.canonical"), F.col("finalUrl"), idn=True), u.parts("finalUrl")
     rows = pages.withColumn("_c", c).withColumn("_p", p).filter(tx.blank(F.col("meta.canonical")) != "")
     return _columns(_issues(rows, (~F.col("_c.valid") | (F.col("_c.origin") != F.col("_p.origin")), issue("canonical_different_origin", "medium", "technical", F.col("meta.canonical")))))
 
@@ -82,8 +79,9 @@ def redirects(pages: DataFrame) -> DataFrame:
 def link_rows(pages: DataFrame, key: str = "compare") -> DataFrame:
     """``(finalUrl, pageType, src, href, dst)`` of internal links; ``dst`` is the link's URL in the form that ``key`` names."""
     own = {"compare": "compare_key", "graph": "graph_key"}[key]
-    rows = pages.select("finalUrl", "pageType", "status", "crawl_seq", F.col(own).alias("src"), F.explode("links").alias("link")).filter("link.internal")
-    return rows.select("finalUrl", "pageType", "status", "crawl_seq", "src", F.col("link.href").alias("href"), u.form(F.col("link.href"), key, F.col("link.href")).alias("dst"))
+    # Formed before they are exploded: what is filtered on ``dst`` later would else form it again for each condition.
+    formed = F.transform(F.filter("links", lambda x: x["internal"]), lambda x: F.struct(x["href"].alias("href"), u.form(x["href"], key, x["href"]).alias("dst")))
+    return pages.select("finalUrl", "pageType", "status", "crawl_seq", F.col(own).alias("src"), F.inline(formed))
 
 
 def links_to_redirects(pages: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def links_to_redirects(pages: DataFrame) -> DataFrame:
 
 def hreflang_dead(pages: DataFrame) -> DataFrame:
     rows = pages.select("finalUrl", "pageType", F.explode("meta.alternates").alias("a")).filter("a.href <> ''")
-    rows = rows.withColumn("compare_key", u.form(F.col("a.href"), "compare", base=F.col("finalUrl")))
+    rows = rows.withColumn("compare_key", u.form(F.col("a.href"), "compare", base=F.col("finalUrl"), idn=True))
     dead = pages.groupBy("compare_key").agg(F.max_by("status", "crawl_seq").alias("_status")).filter("_status >= 400")
     return _columns(_issues(rows.join(dead, "compare_key"), (None, issue("hreflang_dead_url", "high", "metadata", F.concat_ws(" ", "a.hreflang", "a.href"), F.col("_status"), length=240))))
 
@@ -148,7 +146,7 @@ def orphaned_collections(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def sitemap(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Pages against the sitemap's URLs (``url``); without any, there is nothing to compare. Pages carry ``indexability``."""
-    listed = urls.select(u.form("url", "compare", F.col("url")).alias("compare_key")).distinct()
+    listed = urls.select(u.form("url", "compare", F.col("url"), idn=True).alias("compare_key")).distinct()
     if listed.isEmpty():
         return pages.sparkSession.createDataFrame([], "url string, pageType string, severity string, category string, code string, message string, recommendation string, evidence string, metric bigint")
     c, state = "indexability", F.col("indexability")

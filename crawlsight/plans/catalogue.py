@@ -420,11 +420,12 @@ UNION ALL SELECT final_url, 'orphan_page', CASE WHEN page_type IN ('product', 'c
 UNION ALL SELECT final_url, 'low_internal_links', 'recommended', n, NULL FROM r WHERE n > 0 AND n < CASE page_type WHEN 'product' THEN 2 WHEN 'collection' THEN 3 WHEN 'article' THEN 2 ELSE 1 END
 UNION ALL SELECT final_url, 'product_not_linked_from_collection', 'medium', n, NULL FROM r WHERE n > 0 AND page_type = 'product' AND NOT fc""")
 def internal_link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.internal_links(store(spark, sf_dir)).select("url", "code", "severity", "metric", "reachable_via")
+    return site.internal_links(saved(store(spark, sf_dir), "store")).select("url", "code", "severity", "metric", "reachable_via")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages = store(spark, sf_dir)
+    pages = saved(pages, "store")
     edges = saved(graph.edges(pages), "edges")
     return pages, edges, saved(graph.nodes(edges, pages), "nodes")
 

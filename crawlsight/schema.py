@@ -53,6 +53,8 @@ PARSED = ddl(
     f"meta {META}, headings {HEADINGS}, text STRING, anchors ARRAY<{ANCHOR}>, rawImages ARRAY<{IMAGE}>, scripts ARRAY<STRING>, scriptCount INT, "
     "stylesheetCount INT, renderBlockingStylesheetCount INT, preloadedImageCount INT, domElementCount INT, digitalWallet BOOLEAN"
 )
+#: What it hands on where it knows the page's URL.
+RESOLVED = ddl(f"links ARRAY<{LINK}>, images ARRAY<{IMAGE}>, scriptUrls ARRAY<STRUCT<host: STRING, path: STRING, foreign: BOOLEAN>>")
 ISSUE_COLUMNS = ("url", "pageType", "severity", "category", "code", "message", "recommendation", "evidence", "metric")
 ISSUE = ddl("url STRING, pageType STRING, severity STRING, category STRING, code STRING, message STRING, recommendation STRING, evidence STRING, metric BIGINT")
 SEVERITIES = ("critical", "high", "medium", "low", "recommended", "info")

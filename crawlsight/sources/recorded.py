@@ -170,7 +170,7 @@ def memberships(log: DataFrame) -> DataFrame:
 
 def unlisted_products(sitemap: DataFrame, seeded: DataFrame) -> DataFrame:
     """Products of sitemaps that no interface named."""
-    p = u.parts("url")
+    p = u.parts("url", idn=True)
     handles = sitemap.filter(sitemap_kind(F.col("sitemap")) == "product").withColumn("_p", p).select(F.concat(F.col("_p.origin"), F.lit("/products/"), u.segment_after(F.col("_p.path"), "products")).alias("url")).filter("url is not null").distinct()
     return handles.join(seeded.select("url"), "url", "left_anti")
 
