@@ -239,7 +239,7 @@ def keep_html(raw: DataFrame) -> DataFrame:
 def with_redirect(raw: DataFrame) -> DataFrame:
     """Derive ``redirected`` from the URL that was asked for and the one that answered, in the form that pages are compared in."""
     asked, got = (u.form(c, "page_query", F.col(c)) for c in ("url", "finalUrl"))
-    return raw.withColumn("redirected", ~asked.eqNullSafe(got))
+    return raw.withColumn("redirected", ~asked.eqNullSafe(got)).select(*raw.columns, *([] if "redirected" in raw.columns else ["redirected"]))
 
 
 def resolve(df: DataFrame, key: list[str], items: str, raw: str, base: str) -> DataFrame:

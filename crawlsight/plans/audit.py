@@ -34,9 +34,14 @@ class Recorded:
     at: str = ""
 
 
+def prepared(pages: DataFrame, settings: rules.Settings = rules.Settings()) -> DataFrame:
+    """Parsed pages, keyed and prepared, as a table."""
+    return saved(rules.prepare(site.keyed(pages), settings), "pages")
+
+
 def page_table(raw: DataFrame, settings: rules.Settings = rules.Settings()) -> DataFrame:
-    """Raw pages parsed once, keyed and prepared, as a table."""
-    return saved(rules.prepare(site.keyed(extract.pages(raw)), settings), "pages")
+    """Raw pages parsed once; whether they were redirected follows from their addresses."""
+    return prepared(extract.pages(extract.with_redirect(raw)), settings)
 
 
 def issue_table(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -113,7 +118,12 @@ def probe_only(log: DataFrame) -> dict[str, DataFrame]:
 
 def run(raw: DataFrame, path: str, left: Recorded = Recorded(), settings: rules.Settings = rules.Settings()) -> dict[str, DataFrame]:
     """Raw pages in, every table out, as CSV and JSON below ``path``."""
-    made = tables(page_table(raw, settings), left, settings)
+    return write(tables(page_table(raw, settings), left, settings), path)
+
+
+def write(made: dict[str, DataFrame], path: str, more: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Write the tables of a run, and ``more`` beside them, below ``path``."""
+    made = made | (more or {})
     sinks.write_issues(made["issues"], f"{path}/issues")
     sinks.write_report({n: df for n, df in made.items() if n != "issues"}, path)
     return made

@@ -102,7 +102,7 @@ def api_url(origin: Column, kind: str, page: Column, limit: int = 250) -> Column
 def probe_url(origin: Column, handle: Column, page: Column, tier: str = "json", limit: int = 250) -> Column:
     if tier == "json":
         return F.concat(origin, F.lit("/collections/"), handle, F.lit(f"/products.json?limit={limit}&page="), page.cast("string"))
-    return F.concat(origin, F.lit("/collections/"), handle, F.lit("?page="), page.cast("string"))
+    return F.concat(origin, F.lit("/collections/"), handle, F.lit(f"?limit={limit}&page="), page.cast("string"))
 
 
 def api_handles(bodies: DataFrame, kind: str) -> DataFrame:
@@ -155,9 +155,12 @@ def probe_totals(probes: DataFrame) -> DataFrame:
     return probes.agg(F.count(F.lit(1)).alias("total_collections_probed"), F.coalesce(F.sum("unique_products"), F.lit(0)).alias("total_products_discovered"), F.lit(True).alias("probe_only_mode"))
 
 
-def html_handles(bodies: DataFrame) -> DataFrame:
-    """Product handles in order from listing pages ``(page_no, body)``, where the JSON interface doesn't answer; stops as ``api_handles`` does."""
-    found = F.array_distinct(F.regexp_extract_all("body", F.lit(r"""href=["'][^"']*/products/([^"'/?#]+)"""), F.lit(1)))
+def html_handles(bodies: DataFrame, collection: str) -> DataFrame:
+    """Product handles in order from listing pages ``(page_no, body)`` of a collection, those of its own host, where the JSON interface doesn't answer; stops as ``api_handles`` does."""
+    hrefs = F.regexp_extract_all("body", F.lit(r"""(?i)<a\s[^>]*?href=["']([^"']*)["']"""), F.lit(1))
+    own = u.parts(F.lit(collection))["origin"]
+    found = F.transform(hrefs, lambda h: u.bound(u.parts(h, F.lit(collection)), lambda p: F.when(p["origin"] == own, u.segment_after(p["path"], "products"))))
+    found = F.array_distinct(F.filter(found, lambda h: h.isNotNull()))
     rows = bodies.select("page_no", F.coalesce(found, F.array().cast("array<string>")).alias("h"))
     stop = rows.filter(F.size("h") == 0).agg(F.coalesce(F.min("page_no"), F.lit(2**31 - 1)).alias("stop"))
     kept = rows.join(stop).filter("page_no < stop")  # one row on the right

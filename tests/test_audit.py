@@ -204,10 +204,10 @@ def test_interfaces_and_probes(spark):
     one = spark.range(1)
     assert one.select(recorded.api_url(F.lit(HOST), "products", F.lit(2))).first()[0] == f"{HOST}/products.json?limit=250&page=2"
     assert one.select(recorded.probe_url(F.lit(HOST), F.lit("c"), F.lit(2))).first()[0] == f"{HOST}/collections/c/products.json?limit=250&page=2"
-    assert one.select(recorded.probe_url(F.lit(HOST), F.lit("c"), F.lit(2), "html")).first()[0] == f"{HOST}/collections/c?page=2"
+    assert one.select(recorded.probe_url(F.lit(HOST), F.lit("c"), F.lit(2), "html")).first()[0] == f"{HOST}/collections/c?limit=250&page=2"
     assert [tuple(one.select(recorded.stops_probe(F.lit(s))).first()) for s in (200, 403, 404, 500)] == [(False,), (False,), (True,), (True,)]
-    bodies = spark.createDataFrame([(1, '<a href="/collections/c/products/a?x"><a href="/products/b">'), (2, "<a href='/products/a'>"), (3, "none"), (4, '<a href="/products/z">')], "page_no int, body string")
-    assert {(r["handle"], r["page_no"]) for r in recorded.html_handles(bodies).collect()} == {("a", 1), ("b", 1)}
+    bodies = spark.createDataFrame([(1, '<a href="/collections/c/products/a?x"><a href="/products/b"><a href="https://other.example/products/far">'), (2, "<a href='/products/a'>"), (3, "none"), (4, '<a href="/products/z">')], "page_no int, body string")
+    assert {(r["handle"], r["page_no"]) for r in recorded.html_handles(bodies, f"{HOST}/collections/c").collect()} == {("a", 1), ("b", 1)}
     headers = F.create_map(F.lit("server"), F.lit("s"), F.lit("x-cache"), F.lit("HIT"))
     got = one.select(recorded.header_columns(headers, F.lit("äb")).alias("h")).first()["h"]
     assert (got["server"], got["cdnCacheStatus"], got["etag"], got["responseSizeBytes"]) == ("s", "HIT", None, 3)
