@@ -59,12 +59,19 @@ def _html_pages(rows: DataFrame) -> DataFrame:
     return linked.select(*rows.columns, F.lit(True).alias("_read"), F.size(handles).alias("_count"), handles.alias("_handles"))
 
 
-def _read(log: DataFrame, max_pages: int) -> DataFrame:
+def _lost() -> Column:
+    return F.col("error").isNotNull() & (F.col("error") != "")
+
+
+def _tiers(log: DataFrame) -> DataFrame:
+    """``(collection_url, _html)``: whether each probe reads HTML, as the JSON of its first page isn't found."""
+    return log.groupBy("collection_url").agg(F.max(F.coalesce((F.col("page_no") == 1) & (F.col("tier") == "json") & (F.col("status") == 404) & ~_lost(), F.lit(False))).alias("_html"))
+
+
+def _read(log: DataFrame, tiers: DataFrame, max_pages: int) -> DataFrame:
     """The pages of the form that each probe uses, with what stops it there by itself and the products listed."""
-    inside = log.filter(F.col("page_no").between(1, max_pages))
-    lost = F.col("error").isNotNull() & (F.col("error") != "")
-    switched = inside.filter("page_no = 1 and tier = 'json'").groupBy("collection_url").agg(F.max((F.col("status") == 404) & ~lost).alias("_html"))
-    used = inside.join(switched, "collection_url", "left").withColumn("_html", F.coalesce("_html", F.lit(False))).filter(F.col("tier") == F.when(F.col("_html"), "html").otherwise("json"))
+    inside, lost = log.filter(F.col("page_no").between(1, max_pages)), _lost()
+    used = inside.join(tiers, "collection_url").filter(F.col("tier") == F.when(F.col("_html"), "html").otherwise("json"))
     good, count, handles = _json_handles(F.col("body"))
     as_json = used.filter("not _html").select("*", good.alias("_read"), count.alias("_count"), handles.alias("_handles"))
     found = as_json.unionByName(_html_pages(used.filter("_html")))
@@ -78,7 +85,8 @@ def _read(log: DataFrame, max_pages: int) -> DataFrame:
 
 def probe(log: DataFrame, base: str | Column | None = None, max_pages: int = MAX_PAGES) -> Probes:
     """All probes of a log. ``base``: the address that products are read against and that tells what is skipped; the collection's own, if not given."""
-    pages = saved(_read(log, max_pages), "probe-pages")
+    tiers = saved(_tiers(log), "probe-tiers")
+    pages = saved(_read(log, tiers, max_pages), "probe-pages")
     root = F.col("collection_url") if base is None else F.lit(base) if isinstance(base, str) else base
     listed = pages.filter("_fault is null").select("collection_url", "page_no", F.posexplode("_handles").alias("place", "_h")).withColumn("handle", tx.trimmed(F.col("_h"))).filter("handle <> ''")
     at = u.bound(u.parts(root), lambda b: u.bound(u.parts(F.concat(F.lit("/products/"), F.col("handle")), b["href"]), lambda p: F.when(~u.should_skip(p, b), p["href"])))
@@ -90,11 +98,10 @@ def probe(log: DataFrame, base: str | Column | None = None, max_pages: int = MAX
     stop = F.min(F.when(reason.isNotNull(), F.struct(F.col("page_no").alias("page"), reason.alias("reason"))))
     # No more pages than ``max_pages``, so the set of those at hand is small.
     missing = F.get(F.array_except(F.sequence(F.lit(1), F.lit(max_pages)), F.array_sort(F.collect_set("page_no"))), F.lit(0))
-    asked = log.select("collection_url").distinct()
-    ends = asked.join(judged.groupBy("collection_url").agg(stop.alias("s"), missing.alias("m"), F.max("_html").alias("html")), "collection_url", "left")
-    gap = F.when(F.col("html").isNull(), F.lit(1)).otherwise(F.col("m"))
+    ends = tiers.join(judged.groupBy("collection_url").agg(stop.alias("s"), missing.alias("m"), F.lit(True).alias("_any")), "collection_url", "left")
+    gap = F.when(F.col("_any").isNull(), F.lit(1)).otherwise(F.col("m"))
     end = F.least(F.when(gap.isNotNull(), F.struct(gap.alias("page"), F.lit("parse_or_fetch_error").alias("reason"))), F.col("s"), F.struct(F.lit(max_pages + 1).alias("page"), F.lit("max_probe_pages").alias("reason")))
-    ends = saved(ends.select("collection_url", F.least(end["page"], F.lit(max_pages)).alias("stop_page"), end["reason"].alias("stop_reason"), F.coalesce("html", F.lit(False)).alias("html")), "probe-ends")
+    ends = saved(ends.select("collection_url", F.least(end["page"], F.lit(max_pages)).alias("stop_page"), end["reason"].alias("stop_reason"), F.col("_html").alias("html")), "probe-ends")
     read = judged.filter("_fault is null").join(ends, "collection_url").filter("page_no <= stop_page").select("collection_url", F.col("page_no").alias("page"), F.col("_count").alias("products_found"), "new")
     products = first.join(ends.select("collection_url", "stop_page"), "collection_url").filter("page_no <= stop_page").drop("stop_page")
     total = read.groupBy("collection_url").agg(F.sum("new").alias("products_found"))

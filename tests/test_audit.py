@@ -82,10 +82,8 @@ def test_issues_of_a_run(made):
         found.setdefault(r["code"], []).append(r)
     for code, url in (
         ("duplicate_title", "/products/a"), ("broken_collection_link", "/collections/gone"), ("orphaned_collection", "/collections/lost"), ("no_html_inbound_link", "/products/hidden"), ("fetch_server_error", "/pages/err"),
-        ("url_redirects", "/old"), ("internal_link_to_redirect", "/"), ("indexable_page_missing_from_sitemap", "/products/b"), ("sitemap_url_not_indexable", "/products/a"), ("content_cannibalization_duplicate_title", "/products/b"),
+        ("url_redirects", "/old"), ("internal_link_to_redirect", "/"), ("indexable_page_missing_from_sitemap", "/products/b"), ("sitemap_url_not_indexable", "/products/a"),
     ):
-        if code.startswith("content_"):
-            continue
         assert f"{HOST}{url}" in {r["url"] for r in found[code]}, code
     (noindex,) = found["noindex_page"]
     assert (noindex["url"], noindex["noindex_source"], noindex["noindex_removable"]) == (f"{HOST}/products/a", "meta_robots", True)
