@@ -42,6 +42,7 @@ def sf_dir(spark, rows, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
     labels = [(r[0], int(r[0] % 4 != 0), 0) for r in rows if r[0] is not None] + [(1, 1, 0), (None, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, "The state of all the shops, and their sale of the thing"), (1, None), (2, "die der und das nicht")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     vectors = [(i, [float((i * 7 + j * 3) % 11) / 7 - 0.5 for j in range(8)]) for i in range(160)] + [(200, None), (201, [1.0, None] * 4), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (204, [0.5] * 3), (250, [0.1] * 8)]
     vectors += [(300 + i, [0.9] * 8) for i in range(40)] + [(300, [0.9] * 8)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
@@ -54,4 +55,5 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
