@@ -8,11 +8,11 @@ templates that stand alone or among words of the corpus, and a temperature
 fitted on rows kept back calibrates the probabilities; a family under
 ``THRESHOLD`` is unknown. A prediction is confirmed if the paragraph holds half
 of the n-grams of one of the family's templates. Notices that are wrapped, in
-comments too, stand on several lines. One begins with a line whose n-grams could
-give some family ``HEAD`` of what it needs and that has a word which templates
-can't be confirmed without (``needed``); each such line is also scored together
-with the lines after it, ``LINES`` in all, and a family that is confirmed so, and
-by no single line of the text, is reported once, where it is first.
+comments too, stand on any number of lines. Whatever confirms a template has a
+word that it can't be confirmed without (``needed``); so each line with such a word
+is also scored together with the lines around it, until there are as many words
+before and after it as the longest template has (``SPAN``), and a family that is
+confirmed so, and by no single line of the text, is reported once, where it is first.
 
 The model trains in numpy on the templates, cut and noised, and on at most
 about ``SAMPLE_ROWS`` documents' paragraphs, taken by digest of their id. Every
@@ -48,10 +48,6 @@ PLAIN = (
     "a", "about", "all", "an", "and", "any", "at", "be", "by", "can", "either", "for", "found", "free", "from", "if", "in", "into", "is", "it", "later", "may", "not", "of", "on", "one", "or", "person",
     "possible", "public", "that", "the", "this", "to", "under", "use", "was", "with", "without", "work", "you",
 )
-#: Lines over which a wrapped notice may go.
-LINES = 6
-#: The share of a family's needs that a notice's first line could give.
-HEAD = 0.5
 UNKNOWN = "unknown"
 
 #: Usual notices by family (fixed values).
@@ -107,6 +103,10 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
 
 
+#: Words of the longest template.
+SPAN = max(len(_TOKEN.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
+
+
 def needed(text: str) -> set[str]:
     """Words of a template of which every paragraph that confirms it has one.
 
@@ -282,8 +282,8 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
         hits = F.array_distinct(F.concat(F.filter(words, lambda g: g.isin(single)), F.filter(pairs, lambda g: g.isin(double))))
         return F.struct(line["i"].alias("i"), line["lines"].alias("lines"), words.alias("words"), hits.alias("hits"))
 
-    def possible(line: Column, share: float = 1.0) -> Column:
-        return F.aggregate(line["hits"], F.lit(0.0), lambda acc, g: acc + bounds(g)) >= (bar * share if bar > 0 else bar)
+    def possible(line: Column) -> Column:
+        return F.aggregate(line["hits"], F.lit(0.0), lambda acc, g: acc + bounds(g)) >= bar
 
     def scored(line: Column) -> Column:
         raw = F.aggregate(line["hits"], _vector(model.intercepts), lambda acc, g: F.zip_with(acc, weights(g), lambda a, b: a + b))
@@ -314,10 +314,25 @@ def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences")
     if cues is not None:
         lines = F.filter(lines, lambda s: F.exists(s["words"], lambda w: w.isin(list(cues))))
     heads = sorted({w for ts in TEMPLATES.values() for t in ts for w in needed(t)})
-    joined = F.transform(
-        F.filter(gated, lambda s: (s["i"] + 1 < F.size(split)) & possible(s, HEAD) & F.exists(s["words"], lambda w: w.isin(heads))),
-        lambda s: F.struct(F.flatten(F.slice(F.col(split), s["i"] + 1, F.lit(LINES))).alias("words"), s["i"].alias("i"), F.least(F.lit(LINES), F.size(split) - s["i"]).alias("lines")),
-    )
+    span = F.lit(SPAN)
+    nought = F.struct(F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"))
+
+    def gathered(rows: Column, add: Callable[[Column, Column], Column]) -> Column:
+        """The words of lines one after the other, until there are as many as any template has."""
+        return F.aggregate(rows, nought, lambda acc, row: F.when(F.size(acc["words"]) >= span, acc).otherwise(F.struct(add(acc["words"], row).alias("words"), (acc["n"] + 1).alias("n"))))
+
+    def around(at: Column) -> Column:
+        """The line of a needed word with the words before and after it."""
+        i = at["i"]
+        size = F.size(at["words"])
+        own = F.when(size <= 2 * SPAN, at["words"]).otherwise(F.concat(F.slice(at["words"], 1, span), F.slice(at["words"], size - span + 1, span)))
+        before = gathered(F.reverse(F.slice(F.col(split), F.greatest(F.lit(1), i + 1 - span), F.least(span, i))), lambda words, row: F.concat(F.slice(row, F.greatest(F.lit(1), F.size(row) - span + 1), span), words))
+        after = gathered(F.slice(F.col(split), i + 2, span), lambda words, row: F.concat(words, F.slice(row, 1, span)))
+        both = F.transform(F.array(F.struct(before.alias("a"), after.alias("z"))), lambda x: F.struct(F.concat(x["a"]["words"], own, x["z"]["words"]).alias("words"), (i - x["a"]["n"]).alias("i"), (x["a"]["n"] + x["z"]["n"] + 1).alias("lines")))
+        return F.get(both, F.lit(0))
+
+    anchors = F.filter(F.transform(split, lambda words, i: F.struct(words.alias("words"), i.alias("i"))), lambda s: F.exists(s["words"], lambda w: w.isin(heads)))
+    joined = F.filter(F.transform(anchors, around), lambda s: s["lines"] > 1)
     by_line = F.array_distinct(F.transform(F.filter(alone, lambda d: d["confirmed"]), lambda d: d["family"]))
     families = F.array(*[F.lit(f) for f in model.families])
     first = F.transform(F.array_except(families, by_line), lambda f: F.get(F.filter(sure, lambda d: d["family"] == f), F.lit(0)))
@@ -332,7 +347,7 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = scan(docs, fit(docs))
     sure = F.filter("licences", lambda d: d["confirmed"])
-    paragraphs = F.coalesce(F.regexp_count("text", F.lit(r"(?m)^.*[^\x20\x09-\x0D].*$")), F.lit(0))
+    paragraphs = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", "\n"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))))
     return scanned.select(
         "doc_id", paragraphs.cast("long").alias("n_paragraphs"), F.size("licences").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda d: d["family"]))), ",").alias("families"),
