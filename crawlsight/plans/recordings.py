@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fetches
 from ..schema import RAW_PAGE
 from ..sources import probes
 from . import crawl
@@ -87,3 +88,44 @@ def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = flat(spark, sf_dir, f"SELECT '{HOST}/collections/supplier-' || CAST(s_suppkey AS STRING) AS url, s_suppkey AS n FROM supplier WHERE s_suppkey <= {_SEEDS}")
     seeds = crawl.seed_rows(spark.createDataFrame([(f"{HOST}/", 0)], "url string, n long"), collections=listed)
     return crawl.crawl(raw, seeds, f"{HOST}/", crawl.Limits(_MOST, _DEPTH)).queue.select("key", "depth", "place", "state")
+
+
+# --- fetch histories -------------------------------------------------------------------------------------
+
+#: Attempts in order; one address has a third of them.
+_TRIES = """
+SELECT CASE WHEN event_id % 3 = 0 THEN '/hot' ELSE '/u' || CAST(user_id % 40 AS STRING) END AS url, event_id AS seq, CAST(CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 429 WHEN 'click' THEN 404 WHEN 'view' THEN 200 END AS INT) AS status,
+  CAST(CASE WHEN user_id % 5 = 0 THEN 2 WHEN user_id % 5 = 1 THEN 0 END AS DOUBLE) AS retry_after FROM events
+"""
+_TRIED = f"""
+t0 AS (SELECT *, status IS NULL OR status IN (429, 503) AS failed, row_number() OVER (ORDER BY url, seq, status NULLS FIRST) AS n FROM ({_TRIES}) AS t),
+t1 AS (SELECT *, CASE WHEN lag(url) OVER (ORDER BY n) = url AND lag(failed) OVER (ORDER BY n) THEN NULL ELSE n END AS begin FROM t0),
+t2 AS (SELECT *, CAST((n - max(begin) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) % 3 AS INT) AS attempt FROM t1),
+tried AS (SELECT url, seq, status, retry_after, n - attempt AS fid, attempt, failed AND attempt < 2 AS again, CAST(CASE WHEN NOT (failed AND attempt < 2) THEN 0 WHEN status IS NULL THEN 3000 WHEN retry_after > 0 THEN retry_after * 1000 ELSE (attempt + 2) * 3000 END AS BIGINT) AS wait_ms FROM t2)
+"""
+_FETCHED = f"""
+{_TRIED}, done AS (SELECT url, fid, count(*) AS attempts, count(*) FILTER (WHERE again AND status IS NOT NULL) AS status_retries, count(*) FILTER (WHERE again AND status IS NULL) AS error_retries, CAST(sum(wait_ms) AS BIGINT) AS waited_ms, last(status ORDER BY attempt) AS status,
+  CASE WHEN last(again ORDER BY attempt) THEN 'unfinished' WHEN last(status ORDER BY attempt) IS NULL THEN 'error' WHEN last(status ORDER BY attempt) IN (429, 503) THEN 'given_up' WHEN last(status ORDER BY attempt) >= 400 THEN 'failed' ELSE 'answered' END AS outcome FROM tried GROUP BY url, fid)
+"""
+
+
+def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches.attempts(flat(spark, sf_dir, _TRIES))
+
+
+@query("fetch_attempts", f"WITH {_TRIED} SELECT url, seq, attempt, again, wait_ms FROM tried")
+def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tried(spark, sf_dir).select("url", "seq", "attempt", "again", "wait_ms")
+
+
+@query("fetch_outcomes", f"WITH {_FETCHED} SELECT url, attempts, status_retries, error_retries, waited_ms, status, outcome, CAST(count(*) AS BIGINT) AS n FROM done GROUP BY ALL")
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fetches.fetches(_tried(spark, sf_dir))
+    return done.groupBy("url", "attempts", "status_retries", "error_retries", "waited_ms", "status", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fetch_histories", f"""
+WITH {_FETCHED} SELECT url, CAST(count(*) AS BIGINT) AS fetches, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (WHERE attempts > 1) AS retried, CAST(sum(waited_ms) AS BIGINT) AS waited_ms, max(waited_ms) AS longest_wait_ms,
+  count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE outcome = 'answered' AND attempts > 1) AS recovered, last(outcome ORDER BY fid) AS last_outcome, last(status ORDER BY fid) AS last_status FROM done GROUP BY url""")
+def fetch_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches.histories(fetches.fetches(_tried(spark, sf_dir)))
