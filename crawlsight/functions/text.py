@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def collated(column: Column | str) -> Column:
+    """A text as a sort key in the order that readers expect: case and accents come after letters."""
+    return F.collate(F.col(column) if isinstance(column, str) else column, "UNICODE")
+
+
 def blank(x: Column) -> Column:
     """Empty text for null."""
     return F.coalesce(x, F.lit(""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import url as u
 from .lineage import saved
 from .rules import not_in_html
@@ -50,7 +51,7 @@ def inbound_rows(edge_rows: DataFrame) -> DataFrame:
 
 def typed_edges(edge_rows: DataFrame) -> DataFrame:
     """``(source, target, source_type, target_type)``, in order of source and target."""
-    return edge_rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), u.node_type(path_of("src")).alias("source_type"), u.node_type(path_of("dst")).alias("target_type")).orderBy("source", "target")
+    return edge_rows.select(F.col("src").alias("source"), F.col("dst").alias("target"), u.node_type(path_of("src")).alias("source_type"), u.node_type(path_of("dst")).alias("target_type")).orderBy(tx.collated("source"), tx.collated("target"), "source", "target")
 
 
 #: Views of a graph by name, as conditions on its summary.

@@ -104,7 +104,7 @@ def image_inventory(usages: DataFrame, samples: int = 10) -> DataFrame:
 
 
 def inventory_order() -> list:
-    return [F.desc("missingAlt"), F.desc("usedCount"), "imageUrl", "alt"]
+    return [F.desc("missingAlt"), F.desc("usedCount"), tx.collated("imageUrl"), tx.collated("alt"), "imageUrl", "alt"]
 
 
 def alt_patterns(usages: DataFrame) -> DataFrame:

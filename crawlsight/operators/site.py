@@ -268,7 +268,7 @@ def cannibalization_tables(pages: DataFrame, sample: int = 50) -> tuple[DataFram
     named = merged.withColumn("classification", classification).withColumn("confidence", confidence).withColumn("code", name)
     severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in GROUP_SEVERITY.items() for v in kv]), F.col("code")), F.lit("medium"))
     order = F.array_position(F.array(*[F.lit(c) for c in PRIORITY]), F.col("code"))
-    named = numbered(named, [order, F.desc("size"), F.col("intent_key"), F.col("first_url"), F.col("s")], "groups", "_number")
+    named = numbered(named, [order, F.desc("size"), tx.collated("intent_key"), tx.collated("first_url"), F.col("s")], "groups", "_number")
     none = F.array().cast("array<string>")
     groups = named.select(
         "s", "x",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robots as rb
+from ..functions import text as tx
 from ..functions import url as u
 from ..operators import extract, graph, registry, reports, rules, site
 from ..operators.lineage import saved
@@ -93,11 +94,11 @@ def tables(pages: DataFrame, left: Recorded = Recorded(), settings: rules.Settin
         "image_alt_patterns": reports.alt_patterns(usages),
         "image_summary_rows": reports.image_summary_rows(reports.image_summary(pages, usages, plain), reports.alt_patterns(usages)),
         "image_top_missing_alt": reports.top_missing_alt(plain, pages),
-        "link_graph_nodes": nodes.select("id", "type", "crawled").orderBy("id"),
+        "link_graph_nodes": nodes.select("id", "type", "crawled").orderBy(tx.collated("id"), "id"),
         "link_graph_edges": graph.typed_edges(edges),
         "link_graph_summary": summary,
         "link_graph_inbound": graph.inbound_rows(edges),
-        "unreachable_products": unreachable.orderBy("source", "url"),
+        "unreachable_products": unreachable.orderBy(tx.collated("source"), tx.collated("url"), "url"),
         "crawl_stats": reports.crawl_table(pages, plain, summary, unreachable, attempts, probes, generated_at=left.at),
         "collection_probe": probes,
         "probe_pages": recorded.probe_pages(log),

@@ -55,6 +55,27 @@ def write_checkpoint(pages: DataFrame, issues: DataFrame, path: str, note: str =
     write_json(counts.withColumn("generatedAt", F.current_timestamp()).withColumn("note", F.lit(note)), f"{path}/progress")
 
 
+def put(spark, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed. A file of that name is replaced."""
+    jvm = spark.sparkContext._jvm
+    at, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}._writing")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"{path} can't be put in its place")
+
+
+def listed(spark, path: str) -> list[str]:
+    """The names in a folder, or none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def read_csv(spark, path: str, schema: T.StructType) -> DataFrame:
     """Read back with cells that span lines; rows are counted by the reader, not by lines."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract, rules
 from ..schema import RAW_PAGE
+from ..sources import sinks
 
 
 def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,6 +37,76 @@ def append_issues(stream: DataFrame, out: str, checkpoint: str, settings: rules.
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_PROGRESS = "batch long, pages long, totalCrawled long, issueCount long, ended boolean, target string, generatedAt string, note string"
+_PARTIAL = "Partial run; site-wide reports are written when it ends."
+
+
+def checkpointed(stream: DataFrame, out: str, checkpoint: str, every: int = 100, target: str = "", keep_query: bool = False, settings: rules.Settings = rules.Settings()) -> StreamingQuery:
+    """Parse each micro-batch once into pages and issues below ``out``, and commit what is there each time that ``every`` pages or more have come since the last commit.
+
+    A commit is a manifest, which is written last and names the last batch that counts; ``pages`` and ``issues`` of
+    batches are never rewritten, so a commit costs the same however long the run is.
+    A batch that runs again replaces its own folders and counts once. ``end`` commits the rest.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        parsed = extract.pages(batch, keep_query)
+        parsed.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
+        pages = spark.read.schema(parsed.schema).parquet(f"{out}/pages/batch={number}")
+        rules.page_issues(pages, settings).write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
+        last = _progress(spark, out, number)
+        if _pages_after(spark, out, last["batch"], number) >= every:
+            _commit(spark, out, number, last, target, False)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def end(spark: SparkSession, out: str, target: str = "") -> None:
+    """The forced commit at the end of a run: whatever whole batches there are count, however few."""
+    whole = sorted(_batches(spark, out, "pages") & _batches(spark, out, "issues"))
+    if whole:
+        _commit(spark, out, whole[-1], _progress(spark, out, whole[-1]), target, True)
+
+
+def _batches(spark: SparkSession, out: str, table: str) -> set[int]:
+    """Batches whose table was written to its end."""
+    found = [n for n in sinks.listed(spark, f"{out}/{table}") if n.startswith("batch=")]
+    return {int(n[6:]) for n in found if "_SUCCESS" in sinks.listed(spark, f"{out}/{table}/{n}")}
+
+
+def _progress(spark: SparkSession, out: str, before: int | None = None) -> dict:
+    """The last manifest, or the last one of batches before ``before``."""
+    numbers = [int(n[:-5]) for n in sinks.listed(spark, f"{out}/manifests") if n.endswith(".json")]
+    numbers = [n for n in numbers if before is None or n < before]
+    if not numbers:
+        return {"batch": -1, "totalCrawled": 0, "issueCount": 0}
+    return spark.read.schema(_PROGRESS).json(f"{out}/manifests/{max(numbers)}.json").first().asDict()
+
+
+def _read(spark: SparkSession, out: str, table: str, after: int, upto: int) -> DataFrame:
+    return spark.read.parquet(f"{out}/{table}").filter((F.col("batch") > after) & (F.col("batch") <= upto))
+
+
+def _pages_after(spark: SparkSession, out: str, after: int, upto: int) -> int:
+    return _read(spark, out, "pages", after, upto).count()
+
+
+def _commit(spark: SparkSession, out: str, number: int, last: dict, target: str, ended: bool) -> None:
+    pages = _pages_after(spark, out, last["batch"], number)
+    issues = _read(spark, out, "issues", last["batch"], number).count()
+    row = {"batch": number, "pages": pages, "totalCrawled": last["totalCrawled"] + pages, "issueCount": last["issueCount"] + issues, "ended": ended, "target": target, "generatedAt": dt.datetime.now(dt.UTC).isoformat(), "note": "" if ended else _PARTIAL}
+    sinks.put(spark, f"{out}/manifests/{number}.json", json.dumps(row))
+
+
+def read_checkpoint(spark: SparkSession, out: str) -> tuple[dict, DataFrame, DataFrame]:
+    """Progress, pages and issues as of the last commit; a folder without one is refused."""
+    last = _progress(spark, out)
+    if last["batch"] < 0:
+        raise ValueError(f"{out} holds no committed checkpoint")
+    return last, *(_read(spark, out, table, -1, last["batch"]).drop("batch") for table in ("pages", "issues"))
+
+
 def status_windows(fetches: DataFrame, at: str, width: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
     """Fetches and failures by window of event time."""
     return fetches.withWatermark(at, lateness).groupBy(F.window(at, width)).agg(F.count(F.lit(1)).alias("fetches"), F.count_if(F.col("status") >= 400).alias("failures"))
