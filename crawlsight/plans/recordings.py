@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fetches
 from ..schema import RAW_PAGE
-from ..sources import probes
+from ..sources import probes, recorded
 from . import crawl
 from .adapters import HOST, LINKS, STORE, flat
 from .catalogue import query
@@ -129,3 +129,27 @@ WITH {_FETCHED} SELECT url, CAST(count(*) AS BIGINT) AS fetches, CAST(sum(attemp
   count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE outcome = 'answered' AND attempts > 1) AS recovered, last(outcome ORDER BY fid) AS last_outcome, last(status ORDER BY fid) AS last_status FROM done GROUP BY url""")
 def fetch_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches.histories(fetches.fetches(_tried(spark, sf_dir)))
+
+
+# --- page speed ------------------------------------------------------------------------------------------
+
+#: Answers of the page-speed interface: of four pages one has none, one an error, two a result.
+_SPEED = f"SELECT final_url AS url, crawl_seq, status, k, CASE k % 4 WHEN 1 THEN 'timed out' END AS error, k % 4 >= 2 AS measured FROM ({STORE}) AS s"
+_MEASURED = 200
+
+
+@query("page_speed_sample", f"""
+WITH p AS ({_SPEED}), f AS (SELECT url, min(crawl_seq) AS place FROM p WHERE status = 200 GROUP BY url ORDER BY place, url LIMIT {_MEASURED})
+SELECT f.url, place, 'mobile' AS strategy, CASE WHEN measured THEN 'ok' ELSE 'error' END AS status, CASE WHEN measured THEN '' ELSE coalesce(error, 'no result') END AS error, CASE WHEN measured THEN CAST(k % 101 AS INT) END AS "performanceScore",
+  CASE WHEN measured THEN CAST(k * 7 AS DOUBLE) END AS "speedIndexMs", CASE WHEN measured THEN CAST(k % 9 AS DOUBLE) / 8 END AS "cumulativeLayoutShift", CASE WHEN measured THEN 'B: ' || CAST(k + 9 AS STRING) || ' ms | A: ' || CAST(k AS STRING) || ' ms' ELSE '' END AS "topOpportunities"
+FROM f JOIN (SELECT url, min(k) AS k, bool_or(measured) AS measured, min(error) AS error FROM p GROUP BY url) AS x ON x.url = f.url""")
+def page_speed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = flat(spark, sf_dir, _SPEED)
+    k = F.col("k").cast("string")
+    audit = lambda name, body: F.concat(F.lit(f'"{name}":{{'), body, F.lit("}"))
+    chance = lambda name, ms: F.concat(F.lit(f'"title":"{name}","details":{{"type":"opportunity","overallSavingsMs":'), ms, F.lit("}"))
+    audits = F.concat_ws(",", audit("speed-index", F.concat(F.lit('"numericValue":'), (F.col("k") * 7).cast("string"))), audit("cumulative-layout-shift", F.concat(F.lit('"numericValue":'), ((F.col("k") % 9) / 8).cast("string"))), audit("a", chance("A", k)), audit("b", chance("B", (F.col("k") + 9).cast("string"))))
+    body = F.concat(F.lit('{"lighthouseResult":{"categories":{"performance":{"score":'), ((F.col("k") % 101) / 100).cast("string"), F.lit('}},"audits":{'), audits, F.lit("}}}"))
+    results = pages.filter("k % 4 > 0").select("url", F.lit("mobile").alias("strategy"), "error", F.when(F.col("measured"), body).alias("body"))
+    out = recorded.page_speed_sample(pages.select(F.col("url").alias("finalUrl"), "crawl_seq", "status"), results, _MEASURED)
+    return out.select("url", "place", "strategy", "status", "error", "performanceScore", "speedIndexMs", "cumulativeLayoutShift", "topOpportunities")

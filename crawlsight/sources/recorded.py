@@ -235,6 +235,14 @@ def page_speed_table(results: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
+def page_speed_sample(pages: DataFrame, results: DataFrame, most_pages: int, strategy: str = "mobile", most: int = 5) -> DataFrame:
+    """The page-speed report of the first ``most_pages`` answering pages in the order of the crawl, a row for each address, from ``(url, strategy, error, body)``; a page without a result is an error."""
+    first = pages.filter("status = 200").groupBy(F.col("finalUrl").alias("url")).agg(F.min("crawl_seq").alias("place")).orderBy("place", "url").limit(most_pages)
+    known = results.filter(F.col("strategy") == strategy).select("url", "error", "body")
+    asked = first.join(known, "url", "left").select("url", F.lit(strategy).alias("strategy"), "error", "body", "place")
+    return page_speed_table(asked, most).join(first, "url")
+
+
 def first_occurrence(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Flag the first row of each key."""
     return rows.withColumn("is_first", F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1)
