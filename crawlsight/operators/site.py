@@ -52,11 +52,24 @@ def duplicates(pages: DataFrame) -> DataFrame:
 
     Counted before they are joined back, so a value on a third of all pages is one row of the join's other side.
     """
-    kinds = (("duplicate_title", "medium", "metadata", tx.blank(F.col("meta.title"))), ("duplicate_meta_description", "medium", "metadata", tx.blank(F.col("meta.description"))), ("duplicate_content", "high", "content", tx.blank(F.col("textHash"))))
-    values = pages.select("finalUrl", "pageType", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("value")) for c, _, _, v in kinds])).alias("v")).select("finalUrl", "pageType", "v.*").filter("value <> ''")
+    values = duplicate_values(pages)
     often = values.groupBy("code", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = values.join(often, ["code", "value"])
-    return _columns(_issues(rows, *[(F.col("code") == c, issue(c, s, k, F.col("value"), F.col("n"))) for c, s, k, _ in kinds]))
+    return duplicate_issues(values.join(often, ["code", "value"]))
+
+
+#: What pages are compared by, and the severity and category of the issue.
+DUPLICATES = (("duplicate_title", "medium", "metadata", "meta.title"), ("duplicate_meta_description", "medium", "metadata", "meta.description"), ("duplicate_content", "high", "content", "textHash"))
+
+
+def duplicate_values(pages: DataFrame, *more: str) -> DataFrame:
+    """``(finalUrl, pageType, code, value)``: what each page may share with others."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), tx.blank(F.col(v)).alias("value")) for c, _, _, v in DUPLICATES])).alias("v")
+    return pages.select("finalUrl", "pageType", *more, each).select("finalUrl", "pageType", *more, "v.*").filter("value <> ''")
+
+
+def duplicate_issues(rows: DataFrame) -> DataFrame:
+    """Issues of rows as ``duplicate_values`` gives them, with ``n``, how many pages share the value."""
+    return _columns(_issues(rows, *[(F.col("code") == c, issue(c, s, k, F.col("value"), F.col("n"))) for c, s, k, _ in DUPLICATES]))
 
 
 def canonical_origin(pages: DataFrame) -> DataFrame:

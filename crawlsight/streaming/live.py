@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import extract, rules
+from ..operators import extract, rules, site
 from ..schema import RAW_PAGE
 from ..sources import sinks
 
@@ -37,6 +40,35 @@ def append_issues(stream: DataFrame, out: str, checkpoint: str, settings: rules.
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _members(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The second and later pages of a group, and its first page when the second comes; the state is how many there were and the first one."""
+    n, url, kind = state.get if state.exists else (0, None, None)
+    for batch in batches:
+        out = []
+        for own, own_kind in zip(batch["finalUrl"], batch["pageType"], strict=True):
+            n += 1
+            if n == 1:
+                url, kind = own, own_kind
+                continue
+            if n == 2:
+                out.append((url, kind, *key, n))
+            out.append((own, own_kind, *key, n))
+        yield pd.DataFrame(out, columns=["finalUrl", "pageType", "code", "value", "n"])
+    state.update((n, url, kind))
+
+
+def duplicate_stream(pages: DataFrame) -> DataFrame:
+    """Duplicate issues as pages come in, in append mode: a page is reported as soon as another one shares its title, description or text.
+
+    ``metric`` is the size of the group when the page was reported, so a group's largest is its size. What is kept for a
+    value doesn't grow with its pages; of a value that many pages of a micro-batch share, one task sees no more than those.
+    """
+    rows = site.duplicate_values(pages).groupBy("code", "value").applyInPandasWithState(
+        _members, "finalUrl string, pageType string, code string, value string, n long", "n long, url string, kind string", "append", "NoTimeout"
+    )
+    return site.duplicate_issues(rows)
+
+
 _PROGRESS = "batch long, pages long, totalCrawled long, issueCount long, ended boolean, target string, generatedAt string, note string"
 _PARTIAL = "Partial run; site-wide reports are written when it ends."
 

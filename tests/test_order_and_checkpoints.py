@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlsight import schema
 from crawlsight.functions import text as tx
-from crawlsight.operators import fetches, graph, lineage
+from crawlsight.operators import extract, fetches, graph, lineage, site
 from crawlsight.sources import sinks
 from crawlsight.streaming import live
 
@@ -101,3 +101,20 @@ def test_a_file_is_put_whole(spark, tmp_path):
         sinks.put(spark, str(tmp_path / "x.json"), text)
         assert (tmp_path / "x.json").read_text() == text
     assert "x.json._writing" not in sinks.listed(spark, str(tmp_path)) and sinks.listed(spark, str(tmp_path / "none")) == []
+
+
+def test_duplicates_of_a_stream_are_those_of_all_pages(spark, tmp_path):
+    rng, raw, n = random.Random(3), str(tmp_path / "raw"), 0
+    for _ in range(3):
+        rows = [(n + k, f"{HOST}/{n + k}", f"{HOST}/{n + k}", None, False, 0, 200, 0, "text/html", None, 1, f"<html><title>{rng.choice(['same', 'same', 'a', 'b', f't{n + k}', ''])}</title><body>{rng.choice('xyz')}{k}</body></html>") for k in range(12)]
+        spark.createDataFrame(rows, schema.RAW_PAGE).coalesce(1).write.mode("append").parquet(raw)
+        n += 12
+    stream = live.duplicate_stream(extract.pages(live.raw_stream(spark, raw, 1)))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = site.duplicates(extract.pages(spark.read.schema(schema.RAW_PAGE).parquet(raw)))
+    keys = ["url", "code", "severity", "category", "evidence"]
+    assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect())) and want.count() > 10
+    size = lambda df: {tuple(r) for r in df.groupBy("code", "evidence").agg(F.max("metric")).collect()}
+    assert size(got) == size(want)
