@@ -39,9 +39,9 @@ from .common import cut_lineage, doc_key, in_batches, read_table, runs_of, slice
 
 BUCKETS, RUNS, PERCENT, LEAST_WORDS, SEED = 10_000, 2, 25, 20, 7
 #: Bytes of text that DuckDB gets in one row and, about, at a time.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 #: Memory that DuckDB may take in a task; it never spills to the executor's own folder.
-MEMORY = "400MB"
+MEMORY = "256MB"
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
