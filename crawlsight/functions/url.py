@@ -413,6 +413,10 @@ SKIPPED_PATTERNS = (
 )
 
 
+def has_skipped_pattern(url: Column) -> Column:
+    return F.lower(url).rlike("|".join(re.escape(x) for x in SKIPPED_PATTERNS))
+
+
 def should_skip(p: Column, base: Column, same_origin: bool = True) -> Column:
     """Whether a crawl leaves an address out."""
     return bound(F.struct(p.alias("p"), base.alias("base")), lambda x: _should_skip(x["p"], x["base"], same_origin))

@@ -90,6 +90,10 @@ def probe(log: DataFrame, base: str | Column | None = None, max_pages: int = MAX
     root = F.col("collection_url") if base is None else F.lit(base) if isinstance(base, str) else base
     listed = pages.filter("_fault is null").select("collection_url", "page_no", F.posexplode("_handles").alias("place", "_h")).withColumn("handle", tx.trimmed(F.col("_h"))).filter("handle <> ''")
     at = u.bound(u.parts(root), lambda b: u.bound(u.parts(F.concat(F.lit("/products/"), F.col("handle")), b["href"]), lambda p: F.when(~u.should_skip(p, b), p["href"])))
+    # Nearly all handles need no reading: letters, digits, dashes on a plain host.
+    origin = F.regexp_extract(root, r"^(https?://[a-z0-9.-]++)(?:/|\z)", 1)
+    plain = F.concat(origin, F.lit("/products/"), F.col("handle"))
+    at = F.when((origin != "") & F.col("handle").rlike(r"^[A-Za-z0-9_-]++\z"), F.when(~u.has_skipped_pattern(plain), plain)).otherwise(at)
     first = listed.withColumn("product_url", at).filter("product_url is not null").groupBy("collection_url", "product_url").agg(F.min(F.struct("page_no", "place", "handle")).alias("at"))
     first = saved(first.select("collection_url", "product_url", "at.page_no", "at.place", "at.handle"), "probe-products")
     new = first.groupBy("collection_url", "page_no").agg(F.count(F.lit(1)).alias("new"))
