@@ -42,12 +42,13 @@ class Probes:
     products: DataFrame
 
 
-def _json_handles(body: Column) -> tuple[Column, Column, Column]:
-    """Whether a body is JSON, how many products it lists, and their handles in order."""
-    whole = F.try_parse_json(body)
-    items = F.coalesce(F.try_variant_get(whole, "$.products", "array<variant>"), F.array().cast("array<variant>"))
+def _json_pages(rows: DataFrame) -> DataFrame:
+    """Whether a body is JSON, how many products it lists, and their handles in order; a body is read once."""
+    whole = rows.withColumn("_v", F.try_parse_json("body"))
+    listed = F.coalesce(F.try_variant_get("_v", "$.products", "array<variant>"), F.array().cast("array<variant>"))
     handle = lambda x: F.when(F.schema_of_variant(F.try_variant_get(x, "$.handle", "variant")) == "STRING", F.try_variant_get(x, "$.handle", "string"))
-    return whole.isNotNull(), F.size(items), F.transform(items, handle)
+    found = whole.select(*rows.columns, F.col("_v").isNotNull().alias("_read"), F.transform(listed, handle).alias("_handles"))
+    return found.select(*rows.columns, "_read", F.size("_handles").alias("_count"), "_handles")
 
 
 def _html_pages(rows: DataFrame) -> DataFrame:
@@ -72,9 +73,7 @@ def _read(log: DataFrame, tiers: DataFrame, max_pages: int) -> DataFrame:
     """The pages of the form that each probe uses, with what stops it there by itself and the products listed."""
     inside, lost = log.filter(F.col("page_no").between(1, max_pages)), _lost()
     used = inside.join(tiers, "collection_url").filter(F.col("tier") == F.when(F.col("_html"), "html").otherwise("json"))
-    good, count, handles = _json_handles(F.col("body"))
-    as_json = used.filter("not _html").select("*", good.alias("_read"), count.alias("_count"), handles.alias("_handles"))
-    found = as_json.unionByName(_html_pages(used.filter("_html")))
+    found = _json_pages(used.filter("not _html")).unionByName(_html_pages(used.filter("_html")))
     blank = tx.trimmed(tx.blank(F.col("body"))) == ""
     fault = (
         F.when(lost | F.col("status").isNull(), "parse_or_fetch_error").when(F.col("_html") & (F.col("page_no") == 1) & (stops_probe(F.col("status")) | blank), "both_tiers_failed")
@@ -88,13 +87,18 @@ def probe(log: DataFrame, base: str | Column | None = None, max_pages: int = MAX
     tiers = saved(_tiers(log), "probe-tiers")
     pages = saved(_read(log, tiers, max_pages), "probe-pages")
     root = F.col("collection_url") if base is None else F.lit(base) if isinstance(base, str) else base
-    listed = pages.filter("_fault is null").select("collection_url", "page_no", F.posexplode("_handles").alias("place", "_h")).withColumn("handle", tx.trimmed(F.col("_h"))).filter("handle <> ''")
-    at = u.bound(u.parts(root), lambda b: u.bound(u.parts(F.concat(F.lit("/products/"), F.col("handle")), b["href"]), lambda p: F.when(~u.should_skip(p, b), p["href"])))
-    # Nearly all handles need no reading: letters, digits, dashes on a plain host.
     origin = F.regexp_extract(root, r"^(https?://[a-z0-9.-]++)(?:/|\z)", 1)
-    plain = F.concat(origin, F.lit("/products/"), F.col("handle"))
-    at = F.when((origin != "") & F.col("handle").rlike(r"^[A-Za-z0-9_-]++\z"), F.when(~u.has_skipped_pattern(plain), plain)).otherwise(at)
-    first = listed.withColumn("product_url", at).filter("product_url is not null").groupBy("collection_url", "product_url").agg(F.min(F.struct("page_no", "place", "handle")).alias("at"))
+
+    def product(handle: Column) -> Column:
+        """A product's address, or null if it is skipped. Nearly all handles need no reading: letters, digits and dashes on a plain host."""
+        read = u.bound(u.parts(root), lambda b: u.bound(u.parts(F.concat(F.lit("/products/"), handle), b["href"]), lambda p: F.when(~u.should_skip(p, b), p["href"])))
+        plain = F.concat(origin, F.lit("/products/"), handle)
+        return F.when(handle == "", None).when((origin != "") & handle.rlike(r"^[A-Za-z0-9_-]++\z"), F.when(~u.has_skipped_pattern(plain), plain)).otherwise(read)
+
+    # Told before they are exploded: what is filtered on afterwards would else be told again for each condition.
+    each = F.transform("_handles", lambda h, i: u.bound(tx.trimmed(tx.blank(h)), lambda t: F.struct(i.alias("place"), t.alias("handle"), product(t).alias("product_url"))))
+    listed = pages.filter("_fault is null").select("collection_url", "page_no", F.inline(each)).filter("product_url is not null")
+    first = listed.groupBy("collection_url", "product_url").agg(F.min(F.struct("page_no", "place", "handle")).alias("at"))
     first = saved(first.select("collection_url", "product_url", "at.page_no", "at.place", "at.handle"), "probe-products")
     new = first.groupBy("collection_url", "page_no").agg(F.count(F.lit(1)).alias("new"))
     judged = pages.drop("_handles").join(new, ["collection_url", "page_no"], "left").withColumn("new", F.coalesce("new", F.lit(0).cast("long")))
