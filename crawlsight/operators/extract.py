@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,6 +25,15 @@ _CURRENCY = ("og:price:currency", "product:price:currency")
 _AVAILABILITY = ("og:availability", "product:availability")
 
 
+#: An ampersand, and what makes it a whole reference.
+_AMPERSAND = re.compile(r"&(?:(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;))?")
+
+
+def _whole_references(html: str) -> str:
+    """Ampersands that begin no reference with its semicolon are escaped, so that they stay as they are."""
+    return _AMPERSAND.sub(lambda m: m[0] if m[2] and (m[1][0] == "#" or f"{m[1]};" in html5) else f"&amp;{m[0][1:]}", html)
+
+
 def _clean(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
@@ -137,11 +147,11 @@ def _early_charset(html: str) -> bool:
     return bool(re.search(r"<meta[^>]+charset\s*=\s*[\"']?\s*utf-?8", head, re.I))
 
 
-def parse(html: str | None) -> dict:
-    """The record of one document; broken markup is read as far as it goes."""
+def parse(html: str | None, cut_references: bool = True) -> dict:
+    """The record of one document; broken markup is read as far as it goes. References without their semicolon count as browsers read them, or, without ``cut_references``, as plain text."""
     html = html or ""
     p = _Page()
-    p.feed(html)
+    p.feed(html if cut_references else _whole_references(html))
     p.close()
     for tag in [t for t, _ in reversed(p.open_heading)]:
         p.handle_endtag(tag)
@@ -186,7 +196,7 @@ def _resolved(found: dict, base: str | None, keep_query: bool) -> dict:
     return {"links": list(links.values()), "images": images, "scriptUrls": scripts}
 
 
-def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None = None, base: str | None = None, keep_query: bool = False) -> DataFrame:
+def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None = None, base: str | None = None, keep_query: bool = False, cut_references: bool = True) -> DataFrame:
     """Add the columns of ``PARSED``, or those of them in ``fields``, and with ``base``, the column of the page's own URL, those of ``RESOLVED``.
 
     Filter on status and URL before this: nothing is pushed through it.
@@ -200,7 +210,7 @@ def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [parse(x) for x in part.column(html).to_pylist()]
+                rows = [parse(x, cut_references) for x in part.column(html).to_pylist()]
                 if base:
                     rows = [r | _resolved(r, b, keep_query) for r, b in zip(rows, part.column(base).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -248,10 +258,10 @@ def resolve(df: DataFrame, key: list[str], items: str, raw: str, base: str) -> D
     return rows.withColumn("parts", u.parts(F.col(f"item.{raw}"), "_base"))
 
 
-def pages(raw: DataFrame, keep_query: bool = False) -> DataFrame:
+def pages(raw: DataFrame, keep_query: bool = False, cut_references: bool = True) -> DataFrame:
     """The page table from raw pages. The pass that parses a page resolves its URLs too; there is no shuffle."""
     fields = [n for n in PARSED.names if n not in ("anchors", "rawImages", "scripts")]
-    parsed = parse_html(keep_html(raw), fields=fields, base="finalUrl", keep_query=keep_query).withColumn("_p", u.parts("finalUrl"))
+    parsed = parse_html(keep_html(raw), fields=fields, base="finalUrl", keep_query=keep_query, cut_references=cut_references).withColumn("_p", u.parts("finalUrl"))
     full = parsed.withColumn("shopify", platform(F.col("html"), F.col("_p.path"), F.col("digitalWallet")))
     hosts = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: s["foreign"] & ~_contains_any(s["host"], CORE_HOSTS)), lambda s: s["host"]))
     apps = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: F.concat(s["host"], s["path"]).rlike(APP_SCRIPTS) & ~F.contains(s["host"], F.lit("cdn.shopify.com"))), lambda s: s["host"]))
