@@ -41,6 +41,11 @@ def needs_alt(src: Column) -> Column:
     return out & ~F.contains(name, F.lit("thumbnail")) & ~name.endswith(".svg")
 
 
+def alt_words(normal: Column) -> Column:
+    """Words of an alternative text that say something, from its normal form."""
+    return F.filter(F.split(normal, " "), lambda w: (F.length(w) > 2) & ~w.isin(*ALT_STOP))
+
+
 def missing_alt(image: Column) -> Column:
     return (blank(image["alt"]) == "") & needs_alt(image["src"])
 
