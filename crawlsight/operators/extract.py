@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -38,9 +38,22 @@ def _clean(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+#: Spaces in the narrow sense, which go from the ends of a plain text.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _plain_readers(only: Sequence[str]) -> tuple[Callable[[str], str], Callable[[str], str]]:
+    """What cleans a text where only ASCII white space is folded, and what reads the references in ``only``, those that tags cut in two among them."""
+    known = {f"&{n};": html5[f"{n};"] if n[0] != "#" else chr(int(n[1:])) for n in only}
+    reference = re.compile("|".join(map(re.escape, known)))
+    read = lambda text: reference.sub(lambda m: known[m[0]], text)
+    return lambda text: read(re.sub(r"[\t\n\f\r ]+", " ", text).strip(_SPACES)), read
+
+
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, clean: Callable[[str], str] = _clean, read: Callable[[str], str] = str) -> None:
         super().__init__(convert_charrefs=True)
+        self.clean, self.read = clean, read
         self.elements: set[str] = set()
         self.count = 0
         self.text: list[str] = []
@@ -61,7 +74,7 @@ class _Page(HTMLParser):
         self.wallet = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in reversed(attrs)}
+        a = {k: self.read(v or "") for k, v in reversed(attrs)}
         self.count += 1
         self.elements.add(tag)
         if tag in _SILENT and tag not in _VOID:
@@ -119,12 +132,12 @@ class _Page(HTMLParser):
             self.in_title = False
         while tag in self.headings and self.open_heading:
             name, held = self.open_heading.pop()
-            self.headings[name].append(_clean("".join(held)))
+            self.headings[name].append(self.clean("".join(held)))
             if name == tag:
                 break
         if tag == "a" and self.open_anchor:
             anchor, held = self.open_anchor.pop()
-            anchor["text"] = _clean("".join(held))
+            anchor["text"] = self.clean("".join(held))
 
     def handle_data(self, data: str) -> None:
         if self.silent:
@@ -147,11 +160,16 @@ def _early_charset(html: str) -> bool:
     return bool(re.search(r"<meta[^>]+charset\s*=\s*[\"']?\s*utf-?8", head, re.I))
 
 
-def parse(html: str | None, cut_references: bool = True) -> dict:
-    """The record of one document; broken markup is read as far as it goes. References without their semicolon count as browsers read them, or, without ``cut_references``, as plain text."""
+def parse(html: str | None, cut_references: bool = True, only: Sequence[str] | None = None) -> dict:
+    """The record of one document; broken markup is read as far as it goes. References without their semicolon count as browsers read them, or, without ``cut_references``, as plain text.
+
+    With ``only``, names of references, all others are plain text too, and titles, headings and texts keep all white space that isn't ASCII.
+    """
     html = html or ""
-    p = _Page()
-    p.feed(html if cut_references else _whole_references(html))
+    clean, read = (_clean, str) if only is None else _plain_readers(only)
+    p = _Page(clean, read)
+    # All ampersands are escaped where they are read afterwards.
+    p.feed(html.replace("&", "&amp;") if only is not None else html if cut_references else _whole_references(html))
     p.close()
     for tag in [t for t, _ in reversed(p.open_heading)]:
         p.handle_endtag(tag)
@@ -159,7 +177,7 @@ def parse(html: str | None, cut_references: bool = True) -> dict:
         p.handle_endtag("a")
     implied = len({"html", "head", "body"} - p.elements)
     meta = {
-        "title": _clean("".join(p.title or [])), "description": _clean(p.first("description")), "canonical": p.canonical, "robots": p.first("robots").strip(),
+        "title": clean("".join(p.title or [])), "description": _clean(p.first("description")), "canonical": p.canonical, "robots": p.first("robots").strip(),
         "htmlLang": p.lang[:40], "charset": p.charset[:40], "charsetWithinFirst1024": _early_charset(html), "viewport": _clean(p.first("viewport"))[:200],
         "alternates": p.alternates, "ogTitle": _clean(p.first("og:title")), "ogDescription": _clean(p.first("og:description")), "ogType": p.first("og:type").strip(),
         "ogUrl": p.first("og:url").strip(), "ogImage": p.first("og:image").strip(), "ogImageWidth": p.first("og:image:width").strip(),
@@ -168,7 +186,7 @@ def parse(html: str | None, cut_references: bool = True) -> dict:
         "twitterDescription": _clean(p.first("twitter:description")), "twitterImage": p.first("twitter:image").strip(),
     }
     return {
-        "meta": meta, "headings": {k: [t for t in v if t] for k, v in p.headings.items()}, "text": _clean("".join(p.text)), "anchors": p.anchors,
+        "meta": meta, "headings": {k: [t for t in v if t] for k, v in p.headings.items()}, "text": clean("".join(p.text)), "anchors": p.anchors,
         "rawImages": p.images, "scripts": p.scripts, "scriptCount": p.n["script"], "stylesheetCount": p.n["sheet"],
         "renderBlockingStylesheetCount": p.n["blocking"], "preloadedImageCount": p.n["preload"], "domElementCount": p.count + implied, "digitalWallet": p.wallet,
     }
@@ -196,7 +214,7 @@ def _resolved(found: dict, base: str | None, keep_query: bool) -> dict:
     return {"links": list(links.values()), "images": images, "scriptUrls": scripts}
 
 
-def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None = None, base: str | None = None, keep_query: bool = False, cut_references: bool = True) -> DataFrame:
+def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None = None, base: str | None = None, keep_query: bool = False, cut_references: bool = True, only: Sequence[str] | None = None) -> DataFrame:
     """Add the columns of ``PARSED``, or those of them in ``fields``, and with ``base``, the column of the page's own URL, those of ``RESOLVED``.
 
     Filter on status and URL before this: nothing is pushed through it.
@@ -210,7 +228,7 @@ def parse_html(raw: DataFrame, html: str = "html", fields: Sequence[str] | None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [parse(x, cut_references) for x in part.column(html).to_pylist()]
+                rows = [parse(x, cut_references, only) for x in part.column(html).to_pylist()]
                 if base:
                     rows = [r | _resolved(r, b, keep_query) for r, b in zip(rows, part.column(base).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -258,10 +276,10 @@ def resolve(df: DataFrame, key: list[str], items: str, raw: str, base: str) -> D
     return rows.withColumn("parts", u.parts(F.col(f"item.{raw}"), "_base"))
 
 
-def pages(raw: DataFrame, keep_query: bool = False, cut_references: bool = True) -> DataFrame:
-    """The page table from raw pages. The pass that parses a page resolves its URLs too; there is no shuffle."""
+def pages(raw: DataFrame, keep_query: bool = False, cut_references: bool = True, only: Sequence[str] | None = None) -> DataFrame:
+    """The page table from raw pages. The pass that parses a page resolves its URLs too; there is no shuffle. ``only`` as for ``parse``."""
     fields = [n for n in PARSED.names if n not in ("anchors", "rawImages", "scripts")]
-    parsed = parse_html(keep_html(raw), fields=fields, base="finalUrl", keep_query=keep_query, cut_references=cut_references).withColumn("_p", u.parts("finalUrl"))
+    parsed = parse_html(keep_html(raw), fields=fields, base="finalUrl", keep_query=keep_query, cut_references=cut_references, only=only).withColumn("_p", u.parts("finalUrl"))
     full = parsed.withColumn("shopify", platform(F.col("html"), F.col("_p.path"), F.col("digitalWallet")))
     hosts = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: s["foreign"] & ~_contains_any(s["host"], CORE_HOSTS)), lambda s: s["host"]))
     apps = F.array_distinct(F.transform(F.filter("scriptUrls", lambda s: F.concat(s["host"], s["path"]).rlike(APP_SCRIPTS) & ~F.contains(s["host"], F.lit("cdn.shopify.com"))), lambda s: s["host"]))
@@ -273,9 +291,10 @@ def pages(raw: DataFrame, keep_query: bool = False, cut_references: bool = True)
         F.coalesce(primary["lazy"], F.lit(False)).alias("primaryImageLazy"), hosts.alias("thirdPartyScriptHosts"), apps.alias("shopifyAppScriptHosts"),
     )
     kept = [f.name for f in raw.schema.fields if f.name != "html"]
+    words, digest = (tx.word_count(F.col("text")), tx.text_hash(F.col("text"))) if only is None else (F.regexp_count("text", F.lit(r"[^\t\n\f\r ]+")), F.sha1(F.lower("text")))
     return full.select(
-        *kept, F.col("shopify.pageType").alias("pageType"), "meta", "headings", tx.word_count(F.col("text")).alias("wordCount"), F.substring("text", 1, 6000).alias("textSample"),
-        tx.text_hash(F.col("text")).alias("textHash"), "images", "links", "shopify", speed.alias("speed"),
+        *kept, F.col("shopify.pageType").alias("pageType"), "meta", "headings", words.alias("wordCount"), F.substring("text", 1, 6000).alias("textSample"), digest.alias("textHash"),
+        "images", "links", "shopify", speed.alias("speed"),
     )
 
 
