@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fetches
+from ..operators.lineage import portions, saved
 from ..schema import RAW_PAGE
 from ..sources import probes, recorded
 from . import crawl
-from .adapters import HOST, LINKS, STORE, flat
+from .adapters import HOST, ITEMS_A_TASK, LINKS, STORE, flat
 from .catalogue import query
 
 _PAGES = "SELECT DISTINCT l_suppkey AS s, CAST(1 + l_orderkey % 22 AS INT) AS p FROM lineitem"
-#: Answers to probes of each supplier's collection, of eight kinds: whole, HTML only, neither form, server error, blank, broken, repeating, timed out.
-_ANSWERS = f"""
+
+
+def _answers(pages: str, more: str = "") -> str:
+    """Answers to probes of each supplier's collection, of eight kinds: whole, HTML only, neither form, server error, blank, broken, repeating, timed out."""
+    return f"""
 SELECT s, p, 'json' AS tier, CAST(CASE WHEN s % 8 IN (1, 2) AND p = 1 THEN 404 WHEN s % 8 = 3 AND p = 3 THEN 500 WHEN s % 8 = 6 AND p = 2 THEN 403 ELSE 200 END AS INT) AS status,
-  CASE WHEN s % 8 = 4 AND p = 2 THEN 'blank' WHEN s % 8 = 5 AND p = 4 THEN 'broken' ELSE 'list' END AS kind, CASE WHEN s % 8 = 7 AND p = 2 THEN 'ETIMEDOUT' END AS error
-FROM ({_PAGES}) AS a WHERE NOT (s % 16 = 8 AND p = 6)
-UNION ALL SELECT s, p, 'html', CAST(CASE WHEN s % 8 = 2 AND s % 3 = 0 AND p = 1 THEN 503 ELSE 200 END AS INT), CASE WHEN s % 8 = 2 AND s % 3 = 1 AND p = 1 OR s % 8 = 2 AND p = 5 THEN 'blank' ELSE 'list' END, NULL
-FROM ({_PAGES}) AS b WHERE s % 8 IN (1, 2)
+  CASE WHEN s % 8 = 4 AND p = 2 THEN 'blank' WHEN s % 8 = 5 AND p = 4 THEN 'broken' ELSE 'list' END AS kind, CASE WHEN s % 8 = 7 AND p = 2 THEN 'ETIMEDOUT' END AS error{more}
+FROM ({pages}) AS a WHERE NOT (s % 16 = 8 AND p = 6)
+UNION ALL SELECT s, p, 'html', CAST(CASE WHEN s % 8 = 2 AND s % 3 = 0 AND p = 1 THEN 503 ELSE 200 END AS INT), CASE WHEN s % 8 = 2 AND s % 3 = 1 AND p = 1 OR s % 8 = 2 AND p = 5 THEN 'blank' ELSE 'list' END, NULL{more}
+FROM ({pages}) AS b WHERE s % 8 IN (1, 2)
 """
+
+
+_ANSWERS = _answers(_PAGES)
 _LISTED = f"SELECT a.s, a.p, a.tier, l.l_partkey AS part FROM ({_ANSWERS}) AS a JOIN lineitem AS l ON l.l_suppkey = a.s AND 1 + l.l_orderkey % 22 = CASE WHEN a.s % 8 = 6 AND a.p >= 5 THEN 1 ELSE a.p END WHERE a.kind = 'list'"
 _ENDS = f"""
 u AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'parse_or_fetch_error' WHEN tier = 'html' AND p = 1 AND (status = 404 OR status >= 500 OR kind = 'blank') THEN 'both_tiers_failed' WHEN status = 404 OR status >= 500 THEN 'failed_status' WHEN kind = 'blank' THEN 'empty_response' WHEN kind = 'broken' THEN 'parse_or_fetch_error' END AS fault
@@ -35,12 +42,21 @@ e AS (SELECT q.s, least(coalesce(min(p) FILTER (WHERE reason IS NOT NULL), 21),
 
 
 def _probe_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with bodies; every JSON list holds one product whose handle is no text, every HTML page a product of another host."""
+    """The log with bodies; every JSON list holds one product whose handle is no text, every HTML page a product of another host.
+
+    Lines meet once, in as many tasks as they call for; all else is made of the pages' lists.
+    """
     at = F.concat(F.lit(f"{HOST}/collections/supplier-"), F.col("s").cast("string"))
-    listed = flat(spark, sf_dir, _LISTED).groupBy("s", "p", "tier").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    rows = flat(spark, sf_dir, _ANSWERS).join(listed, ["s", "p", "tier"], "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<bigint>")))
-    as_json = F.concat(F.lit('{"products":['), F.array_join(F.transform("parts", lambda k: F.concat(F.lit('{"handle":" item-'), k.cast("string"), F.lit('"},'))), ""), F.lit('{"handle":7}]}'))
-    as_html = F.concat(F.lit('<html><body><a href="https://other.example/products/far">far</a>'), F.array_join(F.transform("parts", lambda k: F.concat(F.lit('<a href="/collections/x/products/item-'), k.cast("string"), F.lit('?v=1">x</a>'))), ""))
+    lines = flat(spark, sf_dir, "SELECT l_suppkey AS s, CAST(1 + l_orderkey % 22 AS INT) AS p, l_partkey AS part FROM lineitem")
+    dealt = lines.repartition(portions(spark, lines.count(), ITEMS_A_TASK), "s", "p")
+    lists = saved(dealt.groupBy("s", "p").agg(F.sort_array(F.collect_list("part")).alias("parts")), "probe-lists")
+    rows = spark.sql(_answers("SELECT * FROM {lists}", ", parts"), lists=lists)
+    repeats = F.coalesce(F.expr("s % 8 = 6 AND p >= 5"), F.lit(False))
+    first = lists.filter("s % 8 = 6 AND p = 1").select("s", "parts")
+    rows = rows.filter(~repeats).unionByName(rows.filter(repeats).drop("parts").join(first, "s", "left"))
+    each = lambda head, tail: F.when(F.size("parts") > 0, F.concat(F.lit(head), F.array_join(F.col("parts").cast("array<string>"), tail + head), F.lit(tail))).otherwise("")
+    as_json = F.concat(F.lit('{"products":['), each('{"handle":" item-', '"},'), F.lit('{"handle":7}]}'))
+    as_html = F.concat(F.lit('<html><body><a href="https://other.example/products/far">far</a>'), each('<a href="/collections/x/products/item-', '?v=1">x</a>'))
     body = F.when(F.col("kind") == "blank", " \n").when(F.col("kind") == "broken", '{"products":[').when(F.col("tier") == "json", as_json).otherwise(as_html)
     return rows.select(at.alias("collection_url"), F.col("p").alias("page_no"), "tier", "status", body.alias("body"), "error")
 
